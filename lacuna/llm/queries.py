@@ -3,13 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacuna.llm import topn
+from lacuna.llm import grouping, subset, topn
 from lacuna.runtime import Scratch
 from lacuna.sources import tables
 from lacuna.sources.tables import table
 
 
+def _current_vectors(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
+    """``(sample_id, v)``: unit vectors of the current samples with a usable embedding, as a written table."""
+    rows = tables.current_samples(table(spark, folder, "samples"), ["sample_id", "embedding"])
+    return scratch.write(tables.usable_vectors(rows, "sample_id", "embedding"), "vectors")
+
+
+def p1_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """``(target_name, sample_id)``: as many samples as each row of size_targets in samples says."""
+    targets = table(spark, folder, "size_targets").where("unit = 'samples'").select("target_name", F.col("amount").alias("size"))
+    sizes = [r[0] for r in targets.select("size").distinct().collect()]
+    chosen = subset.varied_subset(_current_vectors(spark, folder, Scratch(spark)), "sample_id", sizes)
+    return chosen.join(F.broadcast(targets), "size").select("target_name", "sample_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark)
+    groups = grouping.similarity_groups(_current_vectors(spark, folder, scratch), "sample_id", scratch, 0.8)
+    return groups.where("size > 1").select(F.col("first").alias("first_sample_id"), "sample_id")
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group by its size and its three most typical samples."""
+    scratch = Scratch(spark)
+    groups = grouping.similarity_groups(_current_vectors(spark, folder, scratch), "sample_id", scratch, 0.8)
+    return grouping.typical_members(groups, "sample_id", 3).withColumnRenamed("first", "first_sample_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = Scratch(spark).write(
         tables.current_samples(table(spark, folder, "samples"), ["sample_id", "cluster_id", "centroid_distance"]), "current"
@@ -17,14 +45,28 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.nearest_in_cluster(rows, 3).select("cluster_id", "sample_id")
 
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found}
 
 _CURRENT = """
 current_rows AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY updated_at DESC NULLS LAST) AS rn FROM samples WHERE sample_id IS NOT NULL)
   WHERE rn = 1)"""
 
+_USABLE = """
+usable AS (
+  SELECT sample_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM (
+    SELECT sample_id, embedding AS e FROM current_rows WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0))"""
+
 ORACLE = {
+    "p2_found": f"""
+WITH {_CURRENT}, {_USABLE},
+near AS (
+  SELECT a.sample_id, min(b.sample_id) AS first_sample_id, count(*) AS size
+  FROM usable a JOIN usable b ON list_dot_product(a.v, b.v) >= 0.8 GROUP BY a.sample_id)
+SELECT first_sample_id, sample_id FROM near WHERE size > 1
+""",
     "p6_found": f"""
 WITH {_CURRENT},
 ranked AS (
