@@ -33,12 +33,12 @@ class CFTree:
     """A cluster-feature tree over the rows it is given.
 
     A row joins the nearest leaf entry that the descent finds if its distance to that entry's centroid is
-    at most ``threshold``, else it opens a new entry. Beyond ``max_leaves`` entries the threshold rises
-    and the entries are inserted again, so memory is bounded whatever the input.
+    at most ``threshold``, else it opens a new entry. Beyond ``max_leaves`` entries they are condensed, so
+    memory is bounded whatever the input. ``alike``: distance up to which the threshold may rise.
     """
 
-    def __init__(self, dim: int, threshold: float, max_leaves: int = 2048, branching: int = 32):
-        self.dim, self.threshold, self.max_leaves, self.branching = dim, threshold, max_leaves, branching
+    def __init__(self, dim: int, threshold: float, max_leaves: int = 2048, branching: int = 32, alike: float = 0.6):
+        self.dim, self.threshold, self.max_leaves, self.branching, self.alike = dim, threshold, max_leaves, branching, alike
         self._clear()
 
     def _clear(self) -> None:
@@ -126,15 +126,22 @@ class CFTree:
         for i in range(len(rows)):
             self.insert(rows[i], 1.0 if n is None else float(n[i]), None if ss is None else float(ss[i]))
             if len(self.n) > self.max_leaves:
-                self._rise()
+                self._condense()
 
-    def _rise(self) -> None:
-        """Raises the threshold to the median distance of an entry to its nearest, until a quarter is saved."""
-        while len(self.n) > self.max_leaves * 3 // 4:
+    def _condense(self) -> None:
+        """Brings the entries down to half of ``max_leaves``.
+
+        The threshold rises by quantiles of the distance to the nearest entry, but not beyond ``alike``:
+        there the distances between unlike entries begin, which differ so little that any entry would
+        soon absorb all. From then on the cheapest pairs by Ward's cost merge, each entry once a round.
+        """
+        while len(self.n) > self.max_leaves // 2:
             ls, n, ss = np.array(self.ls), np.array(self.n), np.array(self.ss)
-            c = ls / n[:, None]
-            near = nearest_distance(c)
-            self.threshold = max(self.threshold * 1.1, float(np.quantile(near, 0.4)), 1e-6)
+            rise = float(np.quantile(nearest_distance(ls / n[:, None]), 0.3))
+            if max(rise, self.threshold * 1.05) <= self.alike:
+                self.threshold = max(rise, self.threshold * 1.05, 1e-6)
+            else:
+                ls, n, ss = merge_pairs(ls, n, ss, len(n) - self.max_leaves // 2)
             self._clear()
             for i in range(len(n)):
                 self.insert(ls[i], float(n[i]), float(ss[i]))
@@ -144,6 +151,30 @@ class CFTree:
         return np.array(self.n), np.array(self.ls).reshape(len(self.n), self.dim), np.array(self.ss)
 
 
+def merge_pairs(ls: np.ndarray, n: np.ndarray, ss: np.ndarray, wanted: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features after merging up to ``wanted`` disjoint pairs, cheapest by Ward's cost first."""
+    c = ls / n[:, None]
+    sq = np.einsum("ij,ij->i", c, c)
+    best, cost = np.empty(len(n), int), np.empty(len(n))
+    for i in range(0, len(n), block):
+        m = n[i : i + block, None]
+        d = np.maximum(sq[i : i + block, None] + sq[None, :] - 2 * c[i : i + block] @ c.T, 0) * (m * n / (m + n))
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        best[i : i + block], cost[i : i + block] = d.argmin(axis=1), d.min(axis=1)
+    keep, done = np.ones(len(n), bool), np.zeros(len(n), bool)
+    ls, n, ss = ls.copy(), n.copy(), ss.copy()
+    for i in np.argsort(cost, kind="stable"):
+        j = best[i]
+        if wanted and not done[i] and not done[j]:
+            done[i] = done[j] = True
+            ls[i] += ls[j]
+            n[i] += n[j]
+            ss[i] += ss[j]
+            keep[j] = False
+            wanted -= 1
+    return ls[keep], n[keep], ss[keep]
+
+
 def nearest_distance(c: np.ndarray, block: int = 1024) -> np.ndarray:
     sq = np.einsum("ij,ij->i", c, c)
     out = np.empty(len(c))
@@ -256,7 +287,7 @@ def alike_groups(cents: np.ndarray, mass: np.ndarray, min_similarity: float, blo
     return label
 
 
-def summarise(vectors: DataFrame, dim: int, max_leaves: int, threshold: float = 0.0, fan_in: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def summarise(vectors: DataFrame, dim: int, max_leaves: int, threshold: float = 0.0, fan_in: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaf entries of one tree over all rows of ``vectors`` (column v), by a tree of merges.
 
     Every partition sends at most ``max_leaves`` entries, ``fan_in`` summaries merge in one task per

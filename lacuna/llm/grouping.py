@@ -27,7 +27,7 @@ MAX_CELLS = 4096
 ROWS_PER_CELL = 512
 BLOCK_ROWS = 4096
 #: Cells in which a leaf entry is compared with others.
-PROBES = 6
+PROBES = 12
 
 
 def coarse_cells(vectors: DataFrame, total: int, dim: int, rows_per_cell: int = ROWS_PER_CELL) -> np.ndarray:

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lacuna.llm import cftree
 
@@ -18,7 +17,7 @@ LEAVES = 4096
 
 def variety_mass(cents: np.ndarray, n: np.ndarray, min_similarity: float, block: int = 1024) -> np.ndarray:
     """Mass of each leaf entry: its share of the rows that are alike, so a group of like rows weighs 1 in all."""
-    unit = (cents / np.maximum(np.linalg.norm(cents, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    unit = _unit(cents).astype(np.float32)
     around = np.empty(len(n))
     for i in range(0, len(n), block):
         around[i : i + block] = (unit[i : i + block] @ unit.T >= min_similarity) @ n
@@ -35,10 +34,30 @@ def centres_for(n: np.ndarray, ls: np.ndarray, sizes: list[int], min_similarity:
         group = cftree.cut(len(cents), merges, k)
         sums = np.zeros((group.max() + 1, cents.shape[1]))
         np.add.at(sums, group, cents * mass[:, None])
-        out[k] = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        out[k] = unlike_entries(cents, group, _unit(sums), min_similarity).astype(np.float32)
     return out
 
 
+def unlike_entries(cents: np.ndarray, group: np.ndarray, centres: np.ndarray, min_similarity: float) -> np.ndarray:
+    """For each group its leaf entry nearest the group's centre that is not alike one taken before.
+
+    The mean of unlike entries may lie inside a large group of like rows; an entry of its own keeps such a
+    group from giving the record of several centres. A group with like entries only keeps its nearest.
+    """
+    unit = _unit(cents)
+    taken = np.zeros_like(centres)
+    for g in range(len(centres)):
+        own = unit[group == g]
+        own = own[np.argsort(-(own @ centres[g]), kind="stable")]
+        free = np.flatnonzero((own @ taken[:g].T < min_similarity).all(axis=1)) if g else [0]
+        taken[g] = own[free[0] if len(free) else 0]
+    return taken
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
 def varied_subset(vectors: DataFrame, key: str, sizes: list[int], min_similarity: float = 0.8) -> DataFrame:
     """``(size, key, similarity)``: for each size so many different rows of ``vectors`` (key, v), or all if there are fewer.
 
@@ -46,7 +65,8 @@ def varied_subset(vectors: DataFrame, key: str, sizes: list[int], min_similarity
     Rows with a similarity of ``min_similarity`` or more count as alike: a group of like rows has mass 1
     whatever its size, so it takes more than one place only when the cut is finer than the groups. Each
     group gives the row nearest its centre (ties: the smaller key); a centre that got no row is
-    replaced by the row farthest from its own centre. Only centres (sizes x dim) are broadcast.
+    replaced by the nearest row not yet chosen. Two rows of one group are chosen only when no row unlike
+    the others is left. Only centres and chosen rows (size x dim) are broadcast or reach the driver.
     An empty table gives an empty result; a size of 0 or less gives no rows.
     """
     spark = vectors.sparkSession
@@ -59,40 +79,68 @@ def varied_subset(vectors: DataFrame, key: str, sizes: list[int], min_similarity
     if asked:
         dim = len(vectors.select("v").first()[0])
         n, ls, _ = cftree.summarise(vectors, dim, max(LEAVES, 2 * asked[-1]))
-        sent = spark.sparkContext.broadcast(centres_for(n, ls, asked, min_similarity))
-
-        def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Per partition, size and centre: the nearest row and the farthest row."""
-            frames: dict[int, pd.DataFrame] = {}
-            for b in batches:
-                if not len(b):
-                    continue
-                v = np.array(b["v"].tolist(), dtype=np.float32)
-                for k, c in sent.value.items():
-                    sims = v @ c.T
-                    best = sims.argmax(axis=1)
-                    f = pd.DataFrame({"centre": best.astype(np.int32), key: b[key].to_numpy(), "similarity": sims[np.arange(len(v)), best].astype(float)})
-                    f = pd.concat([frames[k], f]) if k in frames else f
-                    near = f.sort_values(["similarity", key], ascending=[False, True]).drop_duplicates("centre")
-                    far = f.sort_values(["similarity", key]).drop_duplicates("centre")
-                    frames[k] = pd.concat([near, far]).drop_duplicates()
-            for k, f in frames.items():
-                yield f.assign(size=k)[["size", "centre", key, "similarity"]]
-
-        found = vectors.mapInPandas(ends, f"size long, centre int, `{key}` {kind}, similarity double").persist()
-        near = Window.partitionBy("size", "centre").orderBy(F.desc("similarity"), key)
-        ranked = found.distinct().withColumn("_near", F.row_number().over(near) == 1)
-        spare = Window.partitionBy("size").orderBy(F.desc("_near"), "similarity", key)
-        # at most 2 rows per centre and partition get here
-        chosen = ranked.withColumn("_place", F.row_number().over(spare)).where(F.col("_place") <= F.col("size")).select("size", key, "similarity")
-        have = {r[0]: r[1] for r in chosen.groupBy("size").count().collect()}
-        parts.append(chosen)
+        centres = centres_for(n, ls, asked, min_similarity)
         for k in asked:
-            if have.get(k, 0) < k:  # too few different vectors for k centres
-                taken = chosen.where(F.col("size") == k).select(key)
-                more = vectors.select(key).join(taken, key, "left_anti").orderBy(key).limit(k - have.get(k, 0))
+            picks = _records(vectors, key, centres[k], min_similarity)
+            parts.append(spark.createDataFrame([(k, i, s) for i, s in picks], empty.schema))
+            if len(picks) < k:  # too few different vectors for k centres
+                taken = spark.createDataFrame([(i,) for i, _ in picks], empty.select(key).schema)
+                more = vectors.select(key).join(F.broadcast(taken), key, "left_anti").orderBy(key).limit(k - len(picks))
                 parts.append(more.select(F.lit(k).cast("long").alias("size"), key, F.lit(1.0).alias("similarity")))
     out = empty
     for p in parts:
         out = out.unionByName(p)
     return out
+
+
+def _records(vectors: DataFrame, key: str, centres: np.ndarray, min_similarity: float, strict_rounds: int = 12) -> list[tuple]:
+    """``(key, similarity)`` of the record for each centre.
+
+    Each round is one pass that gives every open centre the nearest of the rows that are not alike a
+    chosen row; of new records alike each other the one nearest its centre stays. When no unlike row is
+    left (or after ``strict_rounds``), open centres take their nearest rows that are not chosen yet.
+    """
+    spark, kind = vectors.sparkSession, vectors.schema[key].dataType.simpleString()
+    chosen: list[tuple] = []  # (key, similarity, vector)
+    open_, strict, turn = list(range(len(centres))), True, 0
+    while open_:
+        turn += 1
+        strict = strict and turn <= strict_rounds
+        state = spark.sparkContext.broadcast((centres[open_], np.array([v for _, _, v in chosen], np.float32), {i for i, _, _ in chosen}, strict))
+
+        def nearest(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            wanted, taken, ids, strict = state.value
+            best: pd.DataFrame | None = None
+            for b in batches:
+                if not len(b):
+                    continue
+                v = np.array(b["v"].tolist(), dtype=np.float32)
+                free = ~b[key].isin(ids).to_numpy()
+                if strict and len(taken):
+                    free &= (v @ taken.T < min_similarity).all(axis=1)
+                if not free.any():
+                    continue
+                sims = v[free] @ wanted.T
+                own = sims.argmax(axis=1)
+                f = pd.DataFrame({"centre": own.astype(np.int32), key: b[key].to_numpy()[free], "similarity": sims[np.arange(len(own)), own].astype(float), "v": list(v[free])})
+                f = f if best is None else pd.concat([best, f])
+                best = f.sort_values(["similarity", key], ascending=[False, True], kind="stable").drop_duplicates("centre")
+            if best is not None:
+                yield best
+
+        found = vectors.select(key, "v").mapInPandas(nearest, f"centre int, `{key}` {kind}, similarity double, v array<float>")
+        order = F.struct(-F.col("similarity"), F.col(key))
+        top = found.groupBy("centre").agg(F.min_by(F.struct(key, "similarity", "v"), order).alias("r")).select("centre", "r.*").collect()
+        filled = set()
+        for centre, i, sim, v in sorted(top, key=lambda r: (-r[2], r[1])):
+            v = np.array(v, np.float32)
+            if not strict or not chosen or (np.array([c for _, _, c in chosen]) @ v < min_similarity).all():
+                chosen.append((i, sim, v))
+                filled.add(open_[centre])
+        state.unpersist()
+        if not filled:
+            if not strict:
+                break
+            strict = False
+        open_ = [g for g in open_ if g not in filled]
+    return [(i, s) for i, s, _ in chosen]
