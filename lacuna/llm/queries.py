@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import grouping, subset, topn
-from lacuna.runtime import Scratch
+from lacuna.llm import bpe, grouping, packing, subset, topn
+from lacuna.runtime import Scratch, spread
 from lacuna.sources import tables
 from lacuna.sources.tables import table
 
@@ -45,7 +45,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.nearest_in_cluster(rows, 3).select("cluster_id", "sample_id")
 
 
-QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_column(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each post in a container of each token capacity of size_targets; sizes by byte_bpe_50k."""
+    scratch = Scratch(spark)
+    targets = {r[0]: int(r[1]) for r in table(spark, folder, "size_targets").where("unit = 'tokens' AND amount > 0").select("target_name", "amount").collect()}
+    posts = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    sizes = scratch.write(bpe.count_tokens(posts, "doc_id", "text"), "sizes")
+    return packing.pack(sizes, "doc_id", "tokens", targets, scratch)
+
+
+QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 _CURRENT = """
 current_rows AS (
