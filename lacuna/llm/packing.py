@@ -125,24 +125,26 @@ def pack(items: DataFrame, key: str, size: str, targets: dict[str, int], scratch
         shards = fewer
         final = turn == ROUNDS - 1 or shards == 1
 
-        def fill(pdf: pd.DataFrame, turn=turn, final=final) -> pd.DataFrame:
-            pdf = pdf.sort_values(["tokens", key, "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-            target, shard, capacity = pdf["target_name"].iloc[0], pdf["_shard"].iloc[0], targets[pdf["target_name"].iloc[0]]
-            bins = pd.Series(best_two_fit(pdf["tokens"].tolist(), capacity))
-            used = pdf["tokens"].groupby(bins).transform("sum")
-            pdf["container_id"] = f"r{turn}-s{shard}-" + bins.astype(str)
-            pdf["loose"] = (used < TIGHT * capacity) & (not final)
-            return pdf[[*columns, "loose"]]
-
         dealt = open_.withColumn("_shard", F.pmod(F.xxhash64(key, F.col("piece"), F.lit(turn)), F.lit(shards)).cast("int"))
-        packed = scratch.write(dealt.groupBy("target_name", "_shard").applyInPandas(fill, out + ", loose boolean"), f"packed{turn}")
+        packed = scratch.write(dealt.groupBy("target_name", "_shard").applyInPandas(_filler(key, targets, turn, final, columns), out + ", loose boolean"), f"packed{turn}")
         done.append(packed.where("NOT loose").select(columns))
         if final:
             break
         open_ = packed.where("loose").select("target_name", key, "piece", "start_token", "tokens")
-    else:
-        pass
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
     return result
+
+
+def _filler(key: str, targets: dict[str, int], turn: int, final: bool, columns: list[str]):
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tokens", key, "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        capacity, shard = targets[pdf["target_name"].iloc[0]], pdf["_shard"].iloc[0]
+        bins = pd.Series(best_two_fit(pdf["tokens"].tolist(), capacity))
+        used = pdf["tokens"].groupby(bins).transform("sum")
+        pdf["container_id"] = f"r{turn}-s{shard}-" + bins.astype(str)
+        pdf["loose"] = (used < TIGHT * capacity) & (not final)
+        return pdf[[*columns, "loose"]]
+
+    return fill
