@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, grouping, packing, subset, topn
+from lacuna.llm import bpe, grouping, packing, subset, topn, truncation
 from lacuna.runtime import Scratch, spread
 from lacuna.sources import tables
 from lacuna.sources.tables import table
@@ -58,7 +58,21 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "tokens", targets, scratch)
 
 
-QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    posts = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return truncation.truncated(posts, "doc_id", Scratch(spark))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _verdicts(spark, folder).where("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of cut posts per source."""
+    return truncation.rates(_verdicts(spark, folder))
+
+
+QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_rates": p9_rates}
 
 _CURRENT = """
 current_rows AS (
