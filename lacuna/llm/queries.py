@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, grouping, packing, subset, topn, truncation
+from lacuna.llm import bpe, grouping, ivfpq, packing, subset, topn, truncation
 from lacuna.runtime import Scratch, spread
 from lacuna.sources import tables
 from lacuna.sources.tables import table
@@ -38,6 +38,21 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return grouping.typical_members(groups, "sample_id", 3).withColumnRenamed("first", "first_sample_id")
 
 
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return ivfpq.most_similar(_current_vectors(spark, folder, scratch), "sample_id", 3, scratch)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = ivfpq.similar_pairs(_neighbours(spark, folder), "sample_id", 0.8)
+    return pairs.select(F.col("a").alias("sample_id_a"), F.col("b").alias("sample_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The three most similar samples of every sample."""
+    return _neighbours(spark, folder).select("sample_id", "rank", F.col("other").alias("similar_id"), "similarity")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = Scratch(spark).write(
         tables.current_samples(table(spark, folder, "samples"), ["sample_id", "cluster_id", "centroid_distance"]), "current"
@@ -72,7 +87,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(_verdicts(spark, folder))
 
 
-QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_rates": p9_rates}
 
 _CURRENT = """
 current_rows AS (
@@ -93,6 +108,13 @@ near AS (
   SELECT a.sample_id, min(b.sample_id) AS first_sample_id, count(*) AS size
   FROM usable a JOIN usable b ON list_dot_product(a.v, b.v) >= 0.8 GROUP BY a.sample_id)
 SELECT first_sample_id, sample_id FROM near WHERE size > 1
+""",
+    "p5_found": f"""
+WITH {_CURRENT}, {_USABLE},
+pairs AS (
+  SELECT a.sample_id AS a, b.sample_id AS b, round(list_dot_product(a.v, b.v), 6) AS s FROM usable a JOIN usable b ON a.sample_id <> b.sample_id),
+ranked AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pairs WHERE s >= 0.8)
+SELECT DISTINCT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b FROM ranked WHERE r <= 3
 """,
     "p6_found": f"""
 WITH {_CURRENT},
