@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, grouping, ivfpq, packing, subset, topn, truncation
+from lacuna.llm import bpe, dedup, grouping, ivfpq, packing, subset, topn, truncation
 from lacuna.runtime import Scratch, spread
 from lacuna.sources import tables
 from lacuna.sources.tables import table
@@ -38,6 +38,13 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return grouping.typical_members(groups, "sample_id", 3).withColumnRenamed("first", "first_sample_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All deliveries against the history and each other: the store is filled once and looked up by the batches."""
+    scratch = Scratch(spark)
+    store = dedup.open_store(table(spark, folder, "embedding_cache"), scratch)
+    return dedup.accept(store, table(spark, folder, "embedding_batches"), 0.95)
+
+
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark)
     return ivfpq.most_similar(_current_vectors(spark, folder, scratch), "sample_id", 3, scratch)
@@ -87,7 +94,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(_verdicts(spark, folder))
 
 
-QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_rates": p9_rates}
 
 _CURRENT = """
 current_rows AS (
@@ -108,6 +115,21 @@ near AS (
   SELECT a.sample_id, min(b.sample_id) AS first_sample_id, count(*) AS size
   FROM usable a JOIN usable b ON list_dot_product(a.v, b.v) >= 0.8 GROUP BY a.sample_id)
 SELECT first_sample_id, sample_id FROM near WHERE size > 1
+""",
+    "p4_found": """
+WITH entries AS (
+  SELECT entry_id, nullif(lower(trim(regexp_replace(file_hash, '\\s+', ' ', 'g'))), '') AS h, embedding AS e FROM (
+    SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY file_hash) AS rn FROM embedding_batches) WHERE rn = 1),
+earlier AS (
+  SELECT -1 AS seq, nullif(lower(trim(regexp_replace(file_hash, '\\s+', ' ', 'g'))), '') AS h, embedding AS e FROM embedding_cache
+  UNION ALL SELECT entry_id, h, e FROM entries),
+vectors AS (
+  SELECT seq, CAST(e AS DOUBLE[]) AS v FROM earlier
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+units AS (SELECT seq, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vectors)
+SELECT a.entry_id FROM entries a JOIN earlier b ON a.h = b.h AND b.seq < a.entry_id
+UNION
+SELECT a.seq AS entry_id FROM units a JOIN units b ON a.seq >= 0 AND b.seq < a.seq AND list_dot_product(a.u, b.u) >= 0.95
 """,
     "p5_found": f"""
 WITH {_CURRENT}, {_USABLE},
