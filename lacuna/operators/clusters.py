@@ -150,8 +150,8 @@ def full_breakdown(samples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("size"),
         F.min_by(F.coalesce("cluster_label", F.lit("")), F.col("sample_id")).alias("cluster_label"),
         F.min_by(F.coalesce("cluster_diversity", F.lit("")), F.col("sample_id")).alias("cluster_diversity"),
-        F.round(F.avg(d), 6).alias("mean_centroid_distance"),
-        F.round(F.max(d), 6).alias("max_centroid_distance"),
+        F.round(F.avg(d), 8).alias("mean_centroid_distance"),
+        F.round(F.max(d), 8).alias("max_centroid_distance"),
     )
     health = scoring.cluster_health(F.col("size"), F.col("cluster_id"))
     return stats.withColumn("cluster_label", default_label(F.col("cluster_label"), F.col("cluster_id"))).withColumn("status", health).withColumn("status_color", scoring.health_colour(F.col("status")))

@@ -81,7 +81,7 @@ _TOTALS = "(SELECT count(*) AS n_samples, count(DISTINCT CASE WHEN cluster_id >=
 _BREAKDOWN = f"""
 stats AS (SELECT cluster_id, count(*) AS size, coalesce(nullif(arg_min(coalesce(cluster_label, ''), sample_id), ''), 'Cluster ' || cluster_id) AS cluster_label,
     arg_min(coalesce(cluster_diversity, ''), sample_id) AS cluster_diversity,
-    round(avg(centroid_distance) FILTER (WHERE {_DIST}), 6) AS mean_centroid_distance, round(max(centroid_distance) FILTER (WHERE {_DIST}), 6) AS max_centroid_distance
+    round(avg(centroid_distance) FILTER (WHERE {_DIST}), 8) AS mean_centroid_distance, round(max(centroid_distance) FILTER (WHERE {_DIST}), 8) AS max_centroid_distance
   FROM cur WHERE cluster_id >= 0 GROUP BY cluster_id)"""
 _RUNS = r"""raw AS (
   SELECT dataset_name, "timestamp", coverage_score, n_samples, gaps, delivered_at, regexp_replace(trim("timestamp"), '^(\d{4})(\d{2})(\d{2})-(\d{2})(\d{2})(\d{2})', '\1-\2-\3T\4:\5:\6') AS t
@@ -89,9 +89,9 @@ _RUNS = r"""raw AS (
 placed AS (
   SELECT *, CAST(substr(replace(t, ' ', 'T'), 1, 19) AS TIMESTAMP) - CASE WHEN regexp_matches(t, '[+-]\d{2}:\d{2}$')
      THEN to_minutes(CAST((CASE WHEN substr(right(t, 6), 1, 1) = '-' THEN -1 ELSE 1 END) * (CAST(substr(right(t, 6), 2, 2) AS INTEGER) * 60 + CAST(right(t, 2) AS INTEGER)) AS BIGINT))
-     ELSE to_minutes(CAST(0 AS BIGINT)) END AS at FROM raw),
-runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_name, at ORDER BY delivered_at DESC NULLS LAST) AS d FROM placed) WHERE d = 1),
-two AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY at DESC) AS n FROM runs)"""
+     ELSE to_minutes(CAST(0 AS BIGINT)) END AS instant FROM raw),
+runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_name, instant ORDER BY delivered_at DESC NULLS LAST) AS d FROM placed) WHERE d = 1),
+two AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY instant DESC) AS n FROM runs)"""
 _ENTRIES = "entries AS (SELECT entry_id, lower(trim(min(file_hash), ' ')) AS file_hash FROM embedding_batches GROUP BY entry_id)"
 _CACHE = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY created_at DESC) AS rn FROM embedding_cache WHERE file_hash IS NOT NULL) WHERE rn = 1),
 valid AS (SELECT * FROM latest WHERE len(embedding) = dim)"""
@@ -204,7 +204,7 @@ SELECT coverage_score, coverage_pct, CASE WHEN coverage_pct < 30 THEN 'Poor' WHE
 FROM s, {_TOTALS} t LEFT JOIN {_TOP} g ON TRUE""",
     "recommendation": f"{_ALL},{_SPARSE},{_GAPS},{_COVERAGE}, s AS (SELECT coverage_score, round(coverage_score * 100, 1) AS coverage_pct FROM one) SELECT {_SAID} AS recommendation FROM s LEFT JOIN {_TOP} g ON TRUE",
     "history_entry": f"""{_ALL},{_SPARSE},{_GAPS},{_COVERAGE} SELECT '2024-06-01T00:00:00' AS "timestamp", coverage_score, n_samples, CAST(n_clusters AS INTEGER) AS n_clusters, CAST((SELECT count(*) FROM sparse) AS INTEGER) AS n_sparse_clusters, (SELECT count(*) FROM gaps) AS n_gaps FROM one, {_TOTALS} t""",
-    "history_previous": f"WITH {_RUNS} SELECT dataset_name, strftime(at, '%Y-%m-%dT%H:%M:%S') AS previous_at, round(coverage_score, 4) AS coverage_score FROM two WHERE n = 2",
+    "history_previous": f"WITH {_RUNS} SELECT dataset_name, strftime(instant, '%Y-%m-%dT%H:%M:%S') AS previous_at, round(coverage_score, 4) AS coverage_score FROM two WHERE n = 2",
     "coverage_diff": f"""WITH {_RUNS}, names AS (SELECT dataset_name, n, coverage_score, n_samples, list_distinct(list_filter(list_transform(gaps, lambda g: g."name"), lambda x: x IS NOT NULL AND x <> '')) AS names FROM two WHERE n <= 2),
 j AS (SELECT c.dataset_name, round(coalesce(c.coverage_score, 0) - coalesce(p.coverage_score, 0), 4) AS d, c.n_samples - p.n_samples AS new_samples, c.names AS a, p.names AS b FROM names c JOIN names p ON c.dataset_name = p.dataset_name AND c.n = 1 AND p.n = 2)
 SELECT dataset_name, d AS coverage_delta, CASE WHEN d > 0 THEN 'up' WHEN d < 0 THEN 'down' ELSE 'flat' END AS trend, new_samples,
