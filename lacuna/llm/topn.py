@@ -29,13 +29,13 @@ def top_n(rows: DataFrame, group: str, order: list[Column], n: int, heavy_share:
 
     if not heavy:
         return ranked(rows, group)
-    keys = spark.createDataFrame(heavy, rows.select(F.col(group).alias("_g")).schema)
-    same = F.col(group).eqNullSafe(F.col("_g"))
+    keys = spark.createDataFrame(heavy, rows.select(F.col(group).alias("_topn_group")).schema)
+    same = F.col(group).eqNullSafe(F.col("_topn_group"))
     light = rows.join(F.broadcast(keys), same, "left_anti")
     hot = rows.join(F.broadcast(keys), same, "left_semi")
     slices = max(8, spark.sparkContext.defaultParallelism * 2, 4 * total // max(1, limit) // 100)
-    spread = hot.repartitionByRange(slices, F.col(group), *order).withColumn("_slice", F.spark_partition_id())
-    first = ranked(spread, group, "_slice").drop("rank", "_slice")
+    spread = hot.repartitionByRange(slices, F.col(group), *order).withColumn("_topn_slice", F.spark_partition_id())
+    first = ranked(spread, group, "_topn_slice").drop("rank", "_topn_slice")
     return ranked(light, group).unionByName(ranked(first, group))
 
 
