@@ -142,12 +142,12 @@ class Neighbours:
             self.at[key] = part
 
     def rings(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """``(distance below which all points have come by then, points of the ring)``."""
+        """``(distance that points of this ring or later have at least, points of the ring)``."""
         cx, cy = ((q - self.low) / self.step).astype(int)
         for r in range(self.reach + 1):
             ring = [(cx + dx, cy + dy) for dx in range(-r, r + 1) for dy in ((-r, r) if abs(dx) < r else range(-r, r + 1))] if r else [(cx, cy)]
             found = [self.at[c] for c in ring if c in self.at]
-            yield r * self.step, np.concatenate(found) if found else np.zeros(0, int)
+            yield (r - 1) * self.step, np.concatenate(found) if found else np.zeros(0, int)
 
 
 def cell_area(i: int, p: np.ndarray, outer: np.ndarray, near: Neighbours) -> float:

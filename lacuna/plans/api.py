@@ -20,6 +20,10 @@ from lacuna.runtime import Scratch
 DRAWN_POINTS = 5000
 
 
+#: Columns that a run writes; what a table brings under these names is written anew.
+WRITTEN = ["cluster_id", "cluster_confidence", "distance", "centroid_distance", "is_outlier", "umap_x", "umap_y", "cluster_diversity", "status", "v"]
+
+
 class EmptyDataset(ValueError):
     pass
 
@@ -60,7 +64,7 @@ def analyze(
         raise EmptyDataset("no samples")
     if cfg.max_samples:
         samples = samples.orderBy(F.xxhash64("sample_id", F.lit(config.SEED)), "sample_id").limit(cfg.max_samples)
-    base = samples
+    base = samples.drop(*WRITTEN)
     for column, kind in (("embedding", "array<double>"), ("embedding_error", "string"), ("cluster_label", "string"), ("tags", "array<string>")):
         if column not in base.columns:
             base = base.withColumn(column, F.lit(None).cast(kind))
