@@ -122,7 +122,7 @@ def priority_gaps(gaps: DataFrame, most: int = config.MAX_PRIORITY_GAPS) -> Data
 
 
 def match_samples(leaves: DataFrame, rows: DataFrame, threshold: float = config.GAP_SIMILARITY_V1) -> DataFrame:
-    """``(child, sample_id, sim_raw, is_gap)``: the nearest sample of each leaf; one pass over the samples per chunk of leaves.
+    """``(child, sample_id, sim_raw, is_gap)``: the nearest sample of each leaf (equal to 6 decimals: the smaller id); one pass over the samples per chunk of leaves.
 
     The samples stay where they are; the leaves (few) are broadcast, and each task sends its best sample per leaf.
     """
@@ -132,11 +132,11 @@ def match_samples(leaves: DataFrame, rows: DataFrame, threshold: float = config.
         ids = part["sample_id"].to_numpy()
         order = ids.argsort(kind="stable")
         sims = m[order] @ refs.T
-        best = sims.argmax(axis=0)
+        best = sims.round(6).argmax(axis=0)  # equal to 6 decimals is a tie
         return pd.DataFrame({"child": keys, "sample_id": ids[order][best], "sim_raw": sims[best, range(len(keys))]})
 
     def merge(df):
-        best = Window.partitionBy("child").orderBy(F.desc("sim_raw"), "sample_id")
+        best = Window.partitionBy("child").orderBy(F.round("sim_raw", 6).desc(), "sample_id")
         return df.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
     found = blocks.against(rows, "v", ["sample_id"], leaves.where(F.col("v").isNotNull()), "child", "v", f"child string, sample_id {kind}, sim_raw double", work, merge)

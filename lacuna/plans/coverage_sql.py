@@ -174,7 +174,7 @@ SELECT p.parent, CAST(dense_rank() OVER (ORDER BY h.parent_ord) - 1 AS BIGINT) A
     "unique_leaves": f"WITH {_TREE.strip()} SELECT child, CAST(min(parent_ord * 1000000 + child_ord) AS BIGINT) AS first_ord FROM tree GROUP BY 1",
     "category_match": f"{_ALL} SELECT child, cluster_id, round(sim_raw, 6) AS similarity FROM matched",
     "category_match_samples": f"""WITH {_EMB}{_LEAVES} SELECT child, sample_id, round(s, 6) AS similarity, s < 0.9 AS is_gap FROM (
-  SELECT l.child, e.sample_id, list_dot_product(l.c, e.v) AS s, row_number() OVER (PARTITION BY l.child ORDER BY list_dot_product(l.c, e.v) DESC, e.sample_id) AS r FROM leaf l JOIN emb e ON TRUE) WHERE r = 1""",
+  SELECT l.child, e.sample_id, list_dot_product(l.c, e.v) AS s, row_number() OVER (PARTITION BY l.child ORDER BY round(list_dot_product(l.c, e.v), 6) DESC, e.sample_id) AS r FROM leaf l JOIN emb e ON TRUE) WHERE r = 1""",
     "gap_priority": f"{_ALL} SELECT parent_ord, child, round(sim_raw, 6) AS similarity, priority_score FROM records WHERE is_gap",
     "gap_priority_weights": f"{_ALL} "
     + " UNION ALL ".join(
