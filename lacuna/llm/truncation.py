@@ -28,8 +28,8 @@ DOTS = r"…|\.{3,}"
 
 #: Share of sentence ends among all uses of the last words, below which a missing terminator is a cut.
 LEAST_SHARE = 0.04
-#: Other texts with a phrase before dots from which the dots are deliberate.
-DELIBERATE = 2
+#: Other texts in 10,000 (but 2 at least) that must end in a phrase for it to be a usual end, with dots or without.
+USUAL = 2
 #: Bits of the filter of contexts to count, per candidate text; its size is bounded by ``MOST_BITS``.
 BITS, MOST_BITS = 128, 1 << 26
 
@@ -175,8 +175,9 @@ def candidate(reader: Reader, text: str | None) -> tuple[str, list[int]]:
     return state + ("+" if mark == "open" else ""), contexts(words) + [_key("d", words[-2:]), prefix]
 
 
-def decide(state: str, uses: list[tuple[int, int]], at_limit: bool, near_limit: bool) -> bool:
-    """Whether a text is cut; ``uses`` are (ends, inner uses) of the keys of ``candidate``, itself included."""
+def decide(state: str, uses: list[tuple[int, int]], at_limit: bool, near_limit: bool, posts: int = 0) -> bool:
+    """Whether a text is cut; ``uses`` are (ends, inner uses) of the keys of ``candidate`` in so many ``posts``, itself included."""
+    usual = max(USUAL, USUAL * posts / 10_000)
     if state == "cut":
         return True
     if state == "whole" or not uses:
@@ -184,14 +185,14 @@ def decide(state: str, uses: list[tuple[int, int]], at_limit: bool, near_limit:
     if state == "mark":
         return True
     if state == "link":
-        return at_limit or uses[3][1] < 2
+        return at_limit or uses[3][1] < usual
     share = end_share(uses)
     ends, inner = uses[2][0] - 1, uses[2][1]  # of the same two last words in other places
     used_to_end = ends >= 6 and ends >= 0.01 * (ends + inner)
     word, longer = uses[3][0] - 1 + uses[3][1], uses[7][0]
-    broken = longer >= 3 and word <= 0.02 * longer and ends < 2
+    broken = longer >= 3 and word <= 0.02 * longer and ends < usual
     if state == "dots":
-        deliberate = uses[6][0] - 1 >= DELIBERATE
+        deliberate = uses[6][0] - 1 >= usual
         return (share < LEAST_SHARE and not used_to_end) or (not deliberate and (near_limit or broken))
     if at_limit or broken:
         return True
@@ -257,9 +258,9 @@ def wanted_keys(candidates: DataFrame) -> np.ndarray:
 
 
 def source_limits(lengths: DataFrame) -> DataFrame:
-    """``(source, unit, cap)``: the greatest length at which a source's texts pile up.
+    """``(source, unit, cap)``: the length at which most of a source's texts pile up.
 
-    A length is a limit if at least 3 texts have it, five times as many as the 50 lengths below it on
+    A length may be the limit if at least 3 texts have it, five times as many as the 50 lengths below it on
     average, and at most a tenth of the source's texts are longer. Works on counts per length.
     """
     counts = lengths.groupBy("source", "unit", "len").agg(F.count(F.lit(1)).alias("n"))
@@ -272,7 +273,7 @@ def source_limits(lengths: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("_longer"),
         F.sum("n").over(own).alias("_all"),
     )
-    return piled.where("n >= 3 AND n >= 5 * _below / 50 AND _longer <= 0.1 * _all").groupBy("source", "unit").agg(F.max("len").alias("cap"))
+    return piled.where("n >= 3 AND n >= 5 * _below / 50 AND _longer <= 0.1 * _all").groupBy("source", "unit").agg(F.max_by("len", F.struct("n", "len")).alias("cap"))
 
 
 def truncated(documents: DataFrame, key: str, scratch) -> DataFrame:
@@ -298,6 +299,7 @@ def truncated(documents: DataFrame, key: str, scratch) -> DataFrame:
 
     texts = documents.select(key, "source", "text")
     posts = scratch.write(texts.mapInPandas(ends, f"`{key}` {kind}, source string, state string, keys array<long>, chars long, bytes long"), "ends")
+    total = posts.where("chars > 0").count()
     sent = documents.sparkSession.sparkContext.broadcast(wanted_keys(posts))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,7 +349,7 @@ def truncated(documents: DataFrame, key: str, scratch) -> DataFrame:
                 uses = [found.get(i, (0, 0)) for i in range(8)] if state not in ("whole", "cut") else []
                 at_limit = n == cap or (byte_cap == byte_cap and byte_cap is not None and byte_cap - 3 <= m <= byte_cap)
                 near = cap == cap and cap is not None and cap - 16 <= n <= cap
-                verdicts.append(decide(state, uses, bool(at_limit), bool(near)))
+                verdicts.append(decide(state, uses, bool(at_limit), bool(near), total))
             yield pd.DataFrame({key: b[key], "source": b["source"], "cut": verdicts})
 
     return judged.mapInPandas(judge, f"`{key}` {kind}, source string, cut boolean")
