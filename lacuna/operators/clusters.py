@@ -211,6 +211,26 @@ def pairwise_stats(rows: DataFrame, id_: str, vector: str = "v") -> DataFrame:
     return blocks.against(rows, vector, [id_], rows, id_, vector, schema, work, merge)
 
 
+def distance_summary(rows: DataFrame, id_: str, vector: str = "v") -> DataFrame:
+    """``(id, others, mean_distance, least, most)``: cosine distances of each row to all other rows, in blocks."""
+    kind = rows.schema[id_].dataType.simpleString()
+
+    def work(m, part: pd.DataFrame, keys, refs) -> pd.DataFrame:
+        import numpy as np
+
+        d = np.clip(1.0 - m @ refs.T, 0.0, 2.0)
+        d[part[id_].to_numpy()[:, None] == keys[None, :]] = np.nan
+        n = (~np.isnan(d)).sum(axis=1)
+        some = n > 0
+        d, ids = d[some], part[id_].to_numpy()[some]
+        return pd.DataFrame({id_: ids, "others": n[some].astype(np.int64), "total": np.nansum(d, axis=1), "least": np.nanmin(d, axis=1) if len(d) else [], "most": np.nanmax(d, axis=1) if len(d) else []})
+
+    def merge(df: DataFrame) -> DataFrame:
+        return df.groupBy(id_).agg(F.sum("others").alias("others"), (F.sum("total") / F.sum("others")).alias("mean_distance"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+    return blocks.against(rows, vector, [id_], rows, id_, vector, f"`{id_}` {kind}, others long, total double, least double, most double", work, merge)
+
+
 def core_distances(rows: DataFrame, id_: str, k: int, vector: str = "v") -> DataFrame:
     """``(id, core_distance)``: cosine distance to the k-th nearest other row (to the farthest if there are fewer), in blocks."""
     kind = rows.schema[id_].dataType.simpleString()

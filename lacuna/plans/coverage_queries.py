@@ -227,11 +227,13 @@ def isolated_clusters(spark, folder):
 
 
 def centroid_pairs(spark, folder):
-    """Similarity of each category's mean vector to every other's: at most as many rows as pairs of categories."""
+    """How far each category's mean vector is from every other's: number, mean, least and greatest distance.
+
+    All pairs are met in blocks; one row per category comes out, not one per pair.
+    """
     leaves = Scratch(spark).write(leaf_vectors(unit(spark, folder, "ground_truth")), "leaves")
-    other = leaves.select(F.col("child").alias("other"), F.col("v").alias("w"))
-    pairs = leaves.join(other, F.col("child") != F.col("other"))
-    return pairs.select("child", "other", F.round(vec.cosine_distance(F.col("v"), F.col("w")), 6).alias("distance"))
+    d = clusters.distance_summary(leaves, "child")
+    return d.select("child", "others", r6("mean_distance"), r6("least"), r6("most"))
 
 
 def cluster_umap_centers(spark, folder):

@@ -143,7 +143,8 @@ b AS (SELECT avg(distance) AS m, stddev_pop(distance) AS s FROM d) SELECT sample
     "isolated_clusters": f"""WITH {_CENT}, m AS (SELECT a.cluster_id, avg(1.0::DOUBLE - list_dot_product(a.c, b.c)) AS d FROM cent a JOIN cent b ON a.cluster_id <> b.cluster_id GROUP BY 1),
 t AS (SELECT avg(d) + 1.5::DOUBLE * stddev_pop(d) AS threshold, count(*) AS k FROM m)
 SELECT cluster_id, round(d, 6) + 0.0::DOUBLE AS mean_distance, round(threshold, 6) + 0.0::DOUBLE AS threshold FROM m, t WHERE d > threshold AND k >= 3""",
-    "centroid_pairs": f"""WITH {_EMB}{_LEAVES} SELECT a.child, b.child AS other, round(greatest(0.0::DOUBLE, least(2.0::DOUBLE, 1.0::DOUBLE - list_dot_product(a.c, b.c))), 6) AS distance FROM leaf a JOIN leaf b ON a.child <> b.child""",
+    "centroid_pairs": f"""WITH {_EMB}{_LEAVES}, d AS (SELECT a.child, greatest(0.0::DOUBLE, least(2.0::DOUBLE, 1.0::DOUBLE - list_dot_product(a.c, b.c))) AS d FROM leaf a JOIN leaf b ON a.child <> b.child)
+SELECT child, count(*) AS others, round(avg(d), 6) + 0.0::DOUBLE AS mean_distance, round(min(d), 6) + 0.0::DOUBLE AS least, round(max(d), 6) + 0.0::DOUBLE AS most FROM d GROUP BY 1""",
     "cluster_umap_centers": f"WITH {_EMB} SELECT cluster_id, round(avg(umap_x), 6) + 0.0::DOUBLE AS x, round(avg(umap_y), 6) + 0.0::DOUBLE AS y FROM emb WHERE cluster_id >= 0 AND {_POS} GROUP BY 1",
     "full_breakdown": f"WITH {_CUR},{_BREAKDOWN}, s AS (SELECT *, {_STATUS} AS status FROM stats) SELECT *, {_COLOR.format('status')} AS status_color FROM s",
     "cluster_csv": f"WITH {_CUR},{_BREAKDOWN} SELECT *, {_STATUS} AS status FROM stats",
