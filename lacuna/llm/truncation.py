@@ -8,6 +8,7 @@ end a sentence or line anywhere in the corpus, and the length at which each sour
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,7 +46,12 @@ class Reader:
         ).findall
         self.markup = regex.compile(r"<[^<>\n]{0,200}>|\[/?[a-zA-Z*]+(?:=[^\]\n]*)?\]|&(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);")
         self.invisible = regex.compile("[​‌⁠﻿­]")
-        self.open_tag = regex.compile(r"(?:<(?:/?[a-zA-Z!][^<>\n]{0,200})?|\[/?(?:b|i|u|s|url|quote|code|img|size|color|list|spoiler)?(?:=[^\]\n]{0,200})?|\[/?(?:qu?o?t?|ur?|co?d?|im?|si?z?))$").search
+        attribute = r'\s+[a-zA-Z-]+="[^"<>\s]*"'
+        self.open_tag = regex.compile(
+            rf'(?:<(?:[/!]?[a-zA-Z]{{0,10}}(?:{attribute})*(?:\s+(?:/|[a-zA-Z-]*(?:="?[^"<>\s]*)?))?)?'
+            r"|\[/?(?:b|i|u|s|url|quote|code|img|size|color|list|spoiler|qu?o?t?|ur?|co?d?|im?|si?z?)?(?:=[^\]\s]{0,200})?)$"
+        ).search
+        self.cjk = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]").match
         self.open_entity = regex.compile(r"&(#x?[0-9a-fA-F]{0,6}|[a-zA-Z]{0,7})$").search
         self.open_escape = regex.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%[0-9A-F]{2}%[0-9A-F]?|=[0-9A-F]{2}=[0-9A-F]?|\\)$").search
         self.open_link = regex.compile(r"(?:^|\s)(https?:?/?|htt?)$").search
@@ -60,7 +66,7 @@ class Reader:
         return [x for x in self.breaks("\n", self.invisible.sub("", text)).replace("\r", "\n").split("\n") if x.strip()]
 
     def words(self, line: str) -> list[str]:
-        return [self.normal(w) for w in self.tokens(self.markup.sub(" ", line))]
+        return [self.normal(w) for w in self.tokens(unicodedata.normalize("NFKC", self.markup.sub(" ", line)))]
 
     def normal(self, w: str) -> str:
         if w[0].isdigit():
@@ -107,12 +113,12 @@ class Reader:
         if not lines or any(self.sign(x) for x in lines[-3:]):
             return "whole", [], ""
         last = lines[-1]
-        if last.lstrip().startswith((">", "|")) or body.lower().endswith("[/quote]"):
+        if last.lstrip().startswith((">", "|")) or body.lower().endswith(("[/quote]", "</blockquote>", "</q>")):
             return "whole", [], ""
         if m := self.mark(last):
-            return "mark", self.words(last[: m.start()])[-4:], "mark"
+            return "mark", self.words(last[: m.start()])[-9:], "mark"
         if m := self.dots(last):
-            return "dots", self.words(last[: m.start()])[-4:], "dots"
+            return "dots", self.words(last[: m.start()])[-9:], "dots"
         if body[-1] in ">]" and self.markup.search(body[-210:]) and not self.words(last):
             return "whole", [], ""
         words = self.words(last)
@@ -120,24 +126,28 @@ class Reader:
             return "whole", [], ""
         w = words[-1]
         if w.startswith("<l>"):
-            return "link", words[-4:], ""
+            return "link", words[-9:], ""
         if w[-1] in TERMINATORS or (w in CLOSERS and w != "'"):
             return "whole", [], ""
         if not self.word(w):
             glued = w not in "-–/=+" or not body[-2:-1].isspace()
             return ("cut", [], "") if w in ",;:([{«“„¿¡&'’-–/=+" and glued else ("whole", [], "")
-        return "open", words[-4:], "open" if self.left_open(last) else ""
+        return "open", words[-9:], "open" if self.left_open(last) else ""
 
 
 def _key(kind: str, words: list[str]) -> int:
     return xxhash.xxh64_intdigest(kind + "\x1f" + "\x1f".join(words)) - (1 << 63)
 
 
-def contexts(words: list[str]) -> list[int]:
-    """Keys of the contexts of a last word: itself with 3, 2, 1 and 0 words before it, then any word after 2 and 1 words."""
-    out = [_key("w", words[-n:]) if len(words) >= n else 0 for n in (4, 3, 2, 1)]
+def contexts(words: list[str], cjk: bool) -> list[int]:
+    """Keys of the contexts of a last word: itself with 3, 2, 1 and 0 words before it, then any word after 2 and 1 words.
+
+    In writing without blanks every character is a word here; there a context is twice as long.
+    """
+    each = 2 if cjk else 1
+    out = [_key("w", words[-n * each :]) if len(words) >= n * each else 0 for n in (4, 3, 2, 1)]
     after_word = len(words) > 1 and (words[-2][0].isalnum() or words[-2][0] == "<")
-    return out + [_key("o", words[-n - 1 : -1]) if after_word and len(words) > n else 0 for n in (2, 1)]
+    return out + [_key("o", words[-n * each - 1 : -1]) if after_word and len(words) > n * each else 0 for n in (2, 1)]
 
 
 def count_text(reader: Reader, text: str | None, tally: dict[int, list[int]], wanted, vocabulary: Counter) -> None:
@@ -154,9 +164,7 @@ def count_text(reader: Reader, text: str | None, tally: dict[int, list[int]], wa
             final = not nxt or nxt[0] in TERMINATORS
             if not final and not (reader.word(nxt) or nxt in ",;:"):
                 continue
-            if not wanted(_key("w", [w])) and not wanted(_key("o", words[max(0, i - 1) : i])):
-                continue  # a longer context is wanted only where a shorter one is
-            for k in contexts(words[max(0, i - 3) : i + 1]):
+            for k in contexts(words[max(0, i - 8) : i + 1], bool(reader.cjk(w))):
                 if k and wanted(k):
                     t = tally.setdefault(k, [0, 0])
                     t[0 if final else 1] += 1
@@ -172,7 +180,7 @@ def candidate(reader: Reader, text: str | None) -> tuple[str, list[int]]:
     if state in ("whole", "cut") or not words:
         return state, []
     prefix = _key("p", [words[-1]]) if words[-1][0].isalpha() else 0
-    return state + ("+" if mark == "open" else ""), contexts(words) + [_key("d", words[-2:]), prefix]
+    return state + ("+" if mark == "open" else ""), contexts(words, bool(reader.cjk(words[-1]))) + [_key("d", words[-2:]), prefix]
 
 
 def decide(state: str, uses: list[tuple[int, int]], at_limit: bool, near_limit: bool, posts: int = 0) -> bool:
@@ -210,12 +218,11 @@ def end_share(uses: list[tuple[int, int]], prior: float = 0.2, weight: float = 5
         return (ends + weight * p) / (ends + inner + weight)
 
     after_one = smooth(5, prior)
-    p = smooth(3, after_one)
-    if uses[4] != (0, 0):  # what the two words before let expect, whatever the last word
-        p = (p * smooth(4, after_one)) ** 0.5
-    for k in (2, 1, 0):
+    p = after_one
+    for k in (3, 2, 1, 0):
         p = smooth(k, p)
-    return p
+    # what the two words before let expect, whatever the last word
+    return (p * smooth(4, after_one)) ** 0.5 if uses[4] != (0, 0) else p
 
 
 class Filter:
