@@ -113,8 +113,10 @@ class Reader:
         if not lines or any(self.sign(x) for x in lines[-3:]):
             return "whole", [], ""
         last = lines[-1]
-        if last.lstrip().startswith((">", "|")) or body.lower().endswith(("[/quote]", "</blockquote>", "</q>")):
+        if body.lower().endswith(("[/quote]", "</blockquote>", "</q>")):
             return "whole", [], ""
+        if last.lstrip().startswith((">", "|")) and (self.mark(last) or self.dots(last)):
+            return "whole", [], ""  # the quoted text was cut, not the post
         if m := self.mark(last):
             return "mark", self.words(last[: m.start()])[-9:], "mark"
         if m := self.dots(last):
@@ -198,7 +200,10 @@ def decide(state: str, uses: list[tuple[int, int]], at_limit: bool, near_limit:
     ends, inner = uses[2][0] - 1, uses[2][1]  # of the same two last words in other places
     used_to_end = ends >= 6 and ends >= 0.01 * (ends + inner)
     word, longer = uses[3][0] - 1 + uses[3][1], uses[7][0]
-    broken = longer >= 3 and word <= 0.02 * longer and ends < usual
+    # where the word before goes on very often, cuts behind the same first letters meet by chance, but not with all words before
+    phrase = next((u[0] - 1 for u in uses[:2] if u != (0, 0)), ends)
+    rare_end = ends < usual or (ends < 0.001 * uses[5][1] and phrase < usual)
+    broken = longer >= 3 and word <= 0.02 * longer and rare_end
     if state == "dots":
         deliberate = uses[6][0] - 1 >= usual
         return (share < LEAST_SHARE and not used_to_end) or (not deliberate and (near_limit or broken))

@@ -112,7 +112,7 @@ def corpus():
 CASES = [
     ("The camera was moved behind the old boi", True), ("The camera was moved behind the", True), ("The camera was moved behind the old boiler", False), ("It is done. oh well…", False),
     ("Nobody knows why the ser (more)", True), ("Nobody knows why the ser… »", True), ("See </sp", True), ("See <br>", False), ("See it &nbs", True), ("See it &nbsp;", False), ("We compared the fil�", True),
-    ("My colleague swears by the green cable.\n-- \nsomebody", False), ("All good.\n> quoted text that is cut in the mid", False), ("", False), (None, False), ("   \n", False), ("http", True), ("We compared the files and", True),
+    ("My colleague swears by the green cable.\n-- \nsomebody", False), ("All good.\n> quoted text that is cut in the mid…", False), ("All good.\n> Nobody knows why the serv", True), ("All good.\n> Nobody knows why the server stays silent", False), ("", False), (None, False), ("   \n", False), ("http", True), ("We compared the files and", True),
 ]
 
 
