@@ -201,9 +201,13 @@ def pairwise_stats(rows: DataFrame, id_: str, vector: str = "v") -> DataFrame:
 
     def work(m, part: pd.DataFrame, keys, refs) -> pd.DataFrame:
         sims = m @ refs.T
-        other = part[id_].to_numpy()[:, None] != keys[None, :]
-        s = sims[other]
-        return pd.DataFrame({"pairs": [s.size], "total": [s.sum()], "least": [s.min() if s.size else None], "most": [s.max() if s.size else None]})
+        own = blocks.same(part[id_].to_numpy(), keys)
+        sims[own] = 0.0
+        total, pairs = sims.sum(), sims.size - len(own[0])
+        sims[own] = float("inf")
+        least = sims.min()
+        sims[own] = -float("inf")
+        return pd.DataFrame({"pairs": [pairs], "total": [total], "least": [least if pairs else None], "most": [sims.max() if pairs else None]})
 
     def merge(df: DataFrame) -> DataFrame:
         return df.agg(F.sum("pairs").alias("pairs"), (F.sum("total") / F.sum("pairs")).alias("mean"), F.min("least").alias("least"), F.max("most").alias("most"))
@@ -219,7 +223,7 @@ def distance_summary(rows: DataFrame, id_: str, vector: str = "v") -> DataFrame:
         import numpy as np
 
         d = np.clip(1.0 - m @ refs.T, 0.0, 2.0)
-        d[part[id_].to_numpy()[:, None] == keys[None, :]] = np.nan
+        d[blocks.same(part[id_].to_numpy(), keys)] = np.nan
         n = (~np.isnan(d)).sum(axis=1)
         some = n > 0
         d, ids = d[some], part[id_].to_numpy()[some]
@@ -238,9 +242,11 @@ def core_distances(rows: DataFrame, id_: str, k: int, vector: str = "v") -> Data
     def work(m, part: pd.DataFrame, keys, refs) -> pd.DataFrame:
         import numpy as np
 
-        d = np.clip(1.0 - m @ refs.T, 0.0, 2.0)
-        d[part[id_].to_numpy()[:, None] == keys[None, :]] = np.inf
-        d = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
+        sims = m @ refs.T
+        sims[blocks.same(part[id_].to_numpy(), keys)] = -np.inf
+        last = sims.shape[1]
+        s = -np.sort(-np.partition(sims, last - min(k, last), axis=1)[:, -k:], axis=1)
+        d = np.where(np.isfinite(s), np.clip(1.0 - s, 0.0, 2.0), np.inf)
         return pd.DataFrame({id_: part[id_].to_numpy(), "near": [x[np.isfinite(x)] for x in d]})
 
     def merge(df: DataFrame) -> DataFrame:

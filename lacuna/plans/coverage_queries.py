@@ -147,14 +147,23 @@ def core_distances(spark, folder):
     return clusters.core_distances(Scratch(spark).write(rows, "v"), "vec_id", config.MIN_CLUSTER_SIZE).select("vec_id", r6("core_distance"))
 
 
+def pairwise_similarity_samples(spark, folder):
+    """As ``pairwise_similarity_stats``, over the usable current samples."""
+    s = clusters.pairwise_stats(unit(spark, folder), "sample_id")
+    return s.select("pairs", r6("mean"), r6("least"), r6("most"))
+
+
+def core_distances_samples(spark, folder):
+    """As ``core_distances``, over the usable current samples."""
+    return clusters.core_distances(unit(spark, folder), "sample_id", config.MIN_CLUSTER_SIZE).select("sample_id", r6("core_distance"))
+
+
 def hdbscan_assign(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", vec.l2_normalize(F.col("embedding")).alias("v"))
-    return density.hdbscan(Scratch(spark).write(rows, "v"), "vec_id")
+    return density.hdbscan(unit(spark, folder), "sample_id")
 
 
 def kmeans_assign(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", vec.l2_normalize(F.col("embedding")).alias("v"))
-    return kmeans.kmeans(Scratch(spark).write(rows, "v"), "vec_id", 10, runs=3)
+    return kmeans.kmeans(unit(spark, folder), "sample_id", 10, runs=3)
 
 
 def adaptive_k(spark, folder):
