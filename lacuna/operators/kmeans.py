@@ -16,7 +16,7 @@ def clusters_for(wanted: int, n: int) -> int:
 
 
 def kmeans(rows: DataFrame, id_: str, k: int, vector: str = "v", runs: int = config.KMEANS_RUNS, seed: int = config.SEED) -> DataFrame:
-    """``(id, cluster_id)``: the best of ``runs`` fits by cost; one cluster if k is 1 or less.
+    """``(id, cluster_id)``: the best of ``runs`` fits by cost, whatever the size; one cluster if k is 1 or less.
 
     Small inputs are sorted into one partition so that the fit does not depend on how they were read.
     """
@@ -26,6 +26,6 @@ def kmeans(rows: DataFrame, id_: str, k: int, vector: str = "v", runs: int = con
         return rows.select(id_, F.lit(0).alias("cluster_id"))
     data = rows.select(id_, array_to_vector(F.col(vector)).alias("features"))
     data = data.orderBy(id_).coalesce(1).persist() if n <= 20_000 else data.persist()
-    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(runs if n <= 1_000_000 else 1)]
+    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(runs)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select(id_, F.col("prediction").alias("cluster_id"))

@@ -163,7 +163,7 @@ def hdbscan_assign(spark, folder):
 
 
 def kmeans_assign(spark, folder):
-    return kmeans.kmeans(unit(spark, folder), "sample_id", 10, runs=3)
+    return kmeans.kmeans(unit(spark, folder), "sample_id", 10)
 
 
 def adaptive_k(spark, folder):

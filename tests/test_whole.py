@@ -63,3 +63,42 @@ def test_summaries_do_not_depend_on_chunks_and_blocks(spark, monkeypatch):
     core = [r[1] for r in clusters.core_distances(rows, "sample_id", 3).orderBy("sample_id").collect()]
     np.fill_diagonal(s, 2.0)
     assert np.allclose(core, np.sort(1 - s, axis=1)[:, 3])
+
+
+@pytest.mark.parametrize("rows", [60, 1_000_001])
+def test_kmeans_keeps_all_restarts_at_every_size(spark, monkeypatch, rows):
+    from lacuna.operators import kmeans
+
+    seeds, data = [], frame(spark, unit_rows(60, 3, 2))
+
+    class Model:
+        def __init__(self, seed):
+            self.summary = type("Summary", (), {"trainingCost": float(seed != 47)})()
+            self.seed = seed
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(self.seed))
+
+    class Counted:
+        def __init__(self, k, seed, maxIter):
+            self.seed = seed
+
+        def fit(self, df):
+            seeds.append(self.seed)
+            return Model(self.seed)
+
+    monkeypatch.setattr(kmeans, "KMeans", Counted)
+    monkeypatch.setattr(type(data), "count", lambda self: rows)
+    got = kmeans.kmeans(data, "sample_id", 3)
+    assert seeds == list(range(42, 52)) and got.first()["cluster_id"] == 47
+
+
+def test_kmeans_query_takes_the_default_restarts(spark, monkeypatch):
+    from lacuna import config
+    from lacuna.operators import kmeans
+
+    asked = {}
+    monkeypatch.setattr(coverage_queries, "unit", lambda *a: None)
+    monkeypatch.setattr(kmeans, "kmeans", lambda rows, id_, k, runs=config.KMEANS_RUNS: asked.update(runs=runs))
+    coverage_queries.kmeans_assign(spark, FOLDER)
+    assert asked["runs"] == config.KMEANS_RUNS
