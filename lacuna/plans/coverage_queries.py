@@ -245,6 +245,12 @@ def centroid_pairs(spark, folder):
     return d.select("child", "others", r6("mean_distance"), r6("least"), r6("most"))
 
 
+def cluster_centroid_pairs(spark, folder):
+    """How far each cluster's centroid is from every other's, as ``centroid_pairs`` for categories; no pair comes out."""
+    d = clusters.distance_summary(cents(unit(spark, folder, "cluster_id")), "cluster_id", "centroid")
+    return d.select("cluster_id", "others", r6("mean_distance"), r6("least"), r6("most"))
+
+
 def cluster_umap_centers(spark, folder):
     return clusters.centres_2d(clusters.clustered(current(spark, folder, "embedding", "cluster_id", "umap_x", "umap_y"))).select("cluster_id", r6("x"), r6("y"))
 

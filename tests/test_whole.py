@@ -102,3 +102,16 @@ def test_kmeans_query_takes_the_default_restarts(spark, monkeypatch):
     monkeypatch.setattr(kmeans, "kmeans", lambda rows, id_, k, runs=config.KMEANS_RUNS: asked.update(runs=runs))
     coverage_queries.kmeans_assign(spark, FOLDER)
     assert asked["runs"] == config.KMEANS_RUNS
+
+
+@needs_tables
+def test_every_cluster_centroid_meets_every_other(spark):
+    found = clusters.centroids(coverage_queries.unit(spark, FOLDER, "cluster_id").where("cluster_id >= 0")).collect()
+    m = np.array([r["centroid"] for r in found])
+    d = np.clip(1 - m @ m.T, 0, 2)
+    got = {r["cluster_id"]: r for r in entry.queries()["cluster_centroid_pairs"](spark, FOLDER).collect()}
+    assert set(got) == {r["cluster_id"] for r in found} and len(found) > 2
+    for i, r in enumerate(found):
+        rest, g = np.delete(d[i], i), got[r["cluster_id"]]
+        assert g["others"] == len(rest)
+        assert np.allclose([g["mean_distance"], g["least"], g["most"]], [rest.mean(), rest.min(), rest.max()], atol=2e-6)
