@@ -130,12 +130,23 @@ def l2_normalize(spark, folder):
 
 
 def cosine_distance(spark, folder):
-    """Of every pair of file-hash versions in the cache: the vector of the first and of the last write."""
+    """Of file hashes in the cache: distance of the first and the last write. As in the SQL, hashes with two usable rows of one instant are left out.
+
+    ``cosine_distance_versions`` has all hashes.
+    """
     usable = table(spark, folder, "embedding_cache").where(vec.usable(F.col("embedding")))
     ends = usable.groupBy("file_hash").agg(F.min_by("embedding", F.struct("created_at", F.xxhash64("embedding"))).alias("a"), F.max_by("embedding", F.struct("created_at", F.xxhash64("embedding"))).alias("b"), F.countDistinct("created_at").alias("n"), F.count(F.lit(1)).alias("rows"))
     return ends.where("n = rows").select("file_hash", F.round(vec.cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
+def cosine_distance_versions(spark, folder):
+    """Of every file hash in the cache: distance of its first and its last write; copies count once, different vectors of one instant go by a hash of their content."""
+    usable = table(spark, folder, "embedding_cache").where(vec.usable(F.col("embedding")))
+    order = F.struct("created_at", F.xxhash64("embedding"))
+    ends = usable.groupBy("file_hash").agg(F.min_by("embedding", order).alias("a"), F.max_by("embedding", order).alias("b"))
+    return ends.select("file_hash", F.round(vec.cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
 def pairwise_similarity_stats(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", vec.l2_normalize(F.col("embedding")).alias("v"))
     s = clusters.pairwise_stats(Scratch(spark).write(rows, "v"), "vec_id")

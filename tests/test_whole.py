@@ -115,3 +115,11 @@ def test_every_cluster_centroid_meets_every_other(spark):
         rest, g = np.delete(d[i], i), got[r["cluster_id"]]
         assert g["others"] == len(rest)
         assert np.allclose([g["mean_distance"], g["least"], g["most"]], [rest.mean(), rest.min(), rest.max()], atol=2e-6)
+
+
+def test_distances_of_versions_keep_hashes_with_copies(spark, tmp_path):
+    a, b = [1.0] + [0.0] * 63, [0.0, 2.0] + [0.0] * 62
+    rows = [("one", a, 1.0), ("one", a, 1.0), ("two", a, 1.0), ("two", a, 1.0), ("two", b, 2.0), ("two", b, 2.0), ("tie", a, 1.0), ("tie", b, 1.0), ("bad", [1.0], 1.0)]
+    spark.createDataFrame(rows, "file_hash string, embedding array<float>, created_at double").write.parquet(str(tmp_path / "embedding_cache.parquet"))
+    got = {r[0]: r[1] for r in entry.queries()["cosine_distance_versions"](spark, str(tmp_path)).collect()}
+    assert got == {"one": 0.0, "two": 1.0, "tie": 1.0}
