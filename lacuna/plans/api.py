@@ -15,10 +15,7 @@ from lacuna.functions import scoring, text
 from lacuna.operators import clusters, density, embedding, gaps, geometry, kmeans, projection
 from lacuna.plans import render, reports
 from lacuna.runtime import Scratch
-
-#: Points that a drawing shows; a drawing of more is a blot. Tables and scores always cover all rows.
-DRAWN_POINTS = 5000
-
+from lacuna.sources import tables
 
 #: Columns that a run writes; what a table brings under these names is written anew.
 WRITTEN = ["cluster_id", "cluster_confidence", "distance", "centroid_distance", "is_outlier", "umap_x", "umap_y", "cluster_diversity", "status", "v"]
@@ -157,8 +154,11 @@ def _collect(score: DataFrame, samples: DataFrame, all_gaps: DataFrame, records:
 
 def report_of(analysis, name: str, score: Callable) -> dict:
     """A report of the shared inputs of the queries."""
-    samples = analysis.samples.withColumn("cluster_diversity", F.lit("")).withColumn("centroid_distance", F.lit(None).cast("double"))
-    return _collect(score(analysis), samples, analysis.gaps(), analysis.records, None) | {"name": name}
+    columns = ["filepath", "cluster_id", "cluster_label", "cluster_diversity", "centroid_distance", "is_outlier", "umap_x", "umap_y"]
+    samples = analysis.scratch.write(tables.current_samples(tables.table(analysis.spark, analysis.folder, "samples"), ["sample_id", *columns]), "reported")
+    report = _collect(score(analysis), samples, analysis.gaps(), analysis.records, None) | {"name": name}
+    rows = samples.where("cluster_id IS NOT NULL").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False))).withColumn("file", text.basename(F.col("filepath")))
+    return place(report, rows, analysis.markers())
 
 
 def export_report(report: dict, path: str) -> dict:
@@ -175,18 +175,23 @@ def export_report(report: dict, path: str) -> dict:
 
 
 def draw(run: Run, report: dict) -> dict:
-    """``report`` with drawing positions of points (a fixed random choice beyond ``DRAWN_POINTS``) and gap markers."""
-    placed = geometry.svg_position(run.rows).select("sample_id", "sx", "sy", "cluster_id", "is_outlier", F.col("sample_id").alias("file"))
-    shown = placed.orderBy(F.xxhash64("sample_id")).limit(DRAWN_POINTS)
-    marks = run.extra["markers"].select(F.col("child").alias("name"), "umap_x", "umap_y")
-    range_ = run.rows.agg(*[f(c).alias(f"{n}{c[-1]}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("umap_x", "umap_y")]).first()
+    """``report`` with drawing positions of all points and gap markers."""
+    return place(report, run.rows.withColumn("file", F.col("sample_id")), run.extra["markers"])
+
+
+def place(report: dict, rows: DataFrame, markers: DataFrame) -> dict:
+    """``report`` with the drawing positions of all rows that have a finite one, in order of their ids, and of the markers."""
+    rows = rows.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in ("umap_x", "umap_y")))
+    placed = geometry.svg_position(rows).select("sample_id", "sx", "sy", "cluster_id", "is_outlier", "file")
+    marks = markers.select(F.col("child").alias("name"), "umap_x", "umap_y")
+    range_ = rows.agg(*[f(c).alias(f"{n}{c[-1]}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("umap_x", "umap_y")]).first()
     left, right, top, bottom = geometry.MARGINS
     w, h = geometry.DRAWING[0] - left - right, geometry.DRAWING[1] - top - bottom
     def at(v, lo, hi, size):
-        return size / 2 if hi <= lo else min(1.0, max(0.0, (v - lo) / (hi - lo))) * size
+        return size / 2 if lo is None or hi <= lo else min(1.0, max(0.0, (v - lo) / (hi - lo))) * size
 
     gaps_ = [{"name": m["name"], "sx": left + at(m["umap_x"], range_["lox"], range_["hix"], w), "sy": top + h - at(m["umap_y"], range_["loy"], range_["hiy"], h)} for m in marks.collect()]
-    return report | {"points": [r.asDict() for r in shown.collect()], "markers": gaps_}
+    return report | {"points": [r.asDict() for r in placed.orderBy("sample_id").toLocalIterator()], "markers": gaps_}
 
 
 def panel_payload(run: Run) -> dict:

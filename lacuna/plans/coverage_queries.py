@@ -361,7 +361,7 @@ class Analysis:
     """Shared inputs of the gap queries, each written once."""
 
     def __init__(self, spark, folder):
-        self.scratch = Scratch(spark)
+        self.spark, self.folder, self.scratch = spark, folder, Scratch(spark)
         write = self.scratch.write
         self.rows = unit(spark, folder, "cluster_id", "ground_truth", "cluster_label", "umap_x", "umap_y")
         self.cents = cents(self.rows)
@@ -377,6 +377,12 @@ class Analysis:
     def sparse(self):
         return gaps.sparse_ranked(clusters.sparse(self.samples), self.isolation, self.labels)
 
+    def markers(self):
+        """Leaves with samples of their own stand at those samples' mean position."""
+        placed = self.rows.where("umap_x IS NOT NULL AND umap_y IS NOT NULL AND NOT isnan(umap_x) AND NOT isnan(umap_y)").withColumn("child", F.lower(text._strip(F.col("ground_truth"))))
+        few = placed.where("cluster_id = -1").groupBy("child").agg(F.avg("umap_x").alias("x"), F.avg("umap_y").alias("y"))
+        return gaps.marker_positions(self.records.where("is_gap"), few, clusters.centres_2d(placed))
+
     def gaps(self):
         return self.scratch.write(gaps.all_gaps(gaps.category_gaps(self.records), self.sparse()), "gaps")
 
@@ -442,12 +448,7 @@ def sparse_clusters_ranked(spark, folder):
 
 
 def gap_marker_coords(spark, folder):
-    """Leaves with samples of their own stand at those samples' mean position."""
-    a = Analysis(spark, folder)
-    placed = a.rows.where("umap_x IS NOT NULL AND umap_y IS NOT NULL AND NOT isnan(umap_x) AND NOT isnan(umap_y)").withColumn("child", F.lower(text._strip(F.col("ground_truth"))))
-    few = placed.where("cluster_id = -1").groupBy("child").agg(F.avg("umap_x").alias("x"), F.avg("umap_y").alias("y"))
-    marks = gaps.marker_positions(a.records.where("is_gap"), few, clusters.centres_2d(placed))
-    return marks.select("child", "parent_ord", r6("umap_x"), r6("umap_y"))
+    return Analysis(spark, folder).markers().select("child", "parent_ord", r6("umap_x"), r6("umap_y"))
 
 
 def top_gap(spark, folder):

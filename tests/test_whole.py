@@ -123,3 +123,26 @@ def test_distances_of_versions_keep_hashes_with_copies(spark, tmp_path):
     spark.createDataFrame(rows, "file_hash string, embedding array<float>, created_at double").write.parquet(str(tmp_path / "embedding_cache.parquet"))
     got = {r[0]: r[1] for r in entry.queries()["cosine_distance_versions"](spark, str(tmp_path)).collect()}
     assert got == {"one": 0.0, "two": 1.0, "tie": 1.0}
+
+
+@needs_tables
+def test_export_has_distances_diversity_and_all_points(spark):
+    from lacuna.plans import api
+
+    report = api.report_of(coverage_queries.Analysis(spark, FOLDER), "samples", coverage_queries._score)
+    want = {r["cluster_id"]: r.asDict() for r in entry.queries()["full_breakdown"](spark, FOLDER).collect()}
+    assert {c["cluster_id"]: c for c in report["clusters"]} == want
+    assert any(c["mean_centroid_distance"] is not None for c in report["clusters"]) and any(c["cluster_diversity"] for c in report["clusters"])
+    shown = coverage_queries.scatter_points(spark, FOLDER).where("NOT isnan(umap_x) AND NOT isnan(umap_y) AND abs(umap_x) < double('inf') AND abs(umap_y) < double('inf')")
+    assert len(report["points"]) == shown.count() > 0
+    assert len(report["markers"]) == entry.queries()["gap_marker_coords"](spark, FOLDER).count()
+
+
+def test_drawing_has_no_cap(spark):
+    from lacuna.plans import api
+
+    rows = spark.range(5500).selectExpr("cast(id AS string) AS sample_id", "double(id) AS umap_x", "double(-id) AS umap_y", "int(id % 7) AS cluster_id", "false AS is_outlier", "'f' AS file")
+    marks = spark.createDataFrame([("gap", 5499.0, -5499.0)], "child string, umap_x double, umap_y double")
+    got = api.place({}, rows, marks)
+    last = next(p for p in got["points"] if p["sample_id"] == "5499")
+    assert len(got["points"]) == 5500 and np.allclose([got["markers"][0]["sx"], got["markers"][0]["sy"]], [last["sx"], last["sy"]])
