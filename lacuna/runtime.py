@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one of our own, but on one machine only.
+
+    On a cluster every executor would write to a disk of its own, so there an unset folder is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(sc, "_lacuna_shared", None)
     if own is None:
         own = sc._lacuna_shared = "file://" + tempfile.mkdtemp(prefix="lacuna-")
@@ -32,7 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/lacuna-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.base)
+        atexit.register(self.remove, self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -45,9 +50,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name)) if not partition_by else self.spark.read.parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        self._remove(self.path(name))
+        self.remove(self.path(name))
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
         try:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
