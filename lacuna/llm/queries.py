@@ -39,10 +39,10 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """All deliveries against the history and each other: the store is filled once and looked up by the batches."""
-    scratch = Scratch(spark)
-    store = dedup.open_store(table(spark, folder, "embedding_cache"), scratch)
-    return dedup.accept(store, table(spark, folder, "embedding_batches"), 0.95)
+    """Deliveries one after another against the history and those before: the store is filled once, then opened again and appended to."""
+    at = Scratch(spark).path("store")
+    dedup.FingerprintStore.create(table(spark, folder, "embedding_cache"), at).close()
+    return dedup.accept_all(at, table(spark, folder, "embedding_batches"), 0.95)
 
 
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:

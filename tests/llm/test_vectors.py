@@ -165,11 +165,14 @@ def batches():
     return history, new
 
 
-def found(spark, history, *deliveries):
-    store = dedup.open_store(spark.createDataFrame(history, HISTORY), Scratch(spark))
+def found(spark, history, *deliveries, folder=None):
+    folder = folder or Scratch(spark).path("store")
+    dedup.FingerprintStore.create(spark.createDataFrame(history, HISTORY), folder).close()
     out = []
     for d in deliveries:
+        store = dedup.FingerprintStore.open(spark, folder)
         out.append({r[0] for r in dedup.accept(store, spark.createDataFrame(d, BATCH)).collect()})
+        store.close()
     return set().union(*out)
 
 
@@ -178,14 +181,25 @@ def test_batches_equal_brute_force(spark):
     assert found(spark, history, new) == brute(history, new)
 
 
-def test_batches_one_by_one_equal_all_at_once(spark):
+def test_batches_one_by_one_equal_all_at_once(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "MAX_PARTS", 2)  # so the store is compacted in between
     history, new = batches()
-    first, second = [b for b in new if b[0] and b[0] <= 30], [b for b in new if not b[0] or b[0] > 30]
-    assert found(spark, history, first, second) == brute(history, new)
+    cut = [[b for b in new if b[0] and a < b[0] <= z] for a, z in ((0, 20), (20, 30), (30, 99), (99, 200))]
+    assert found(spark, history, *cut) == brute(history, new)
 
 
-def test_dense_group_is_looked_up_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "SLICE", 4)
+def test_outgrown_store_gets_a_new_layout(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "layout_for", lambda n, of=dedup.layout_for: dedup.Layout(18 if n < 70 else 20, 384 if n < 70 else 512, 4, max(62, n)))
+    history, new = batches()
+    folder = Scratch(spark).path("store")
+    cut = [[b for b in new if b[0] and a < b[0] <= z] for a, z in ((0, 40), (40, 200))]
+    assert found(spark, history, *cut, folder=folder) == brute(history, new)
+    assert dedup.FingerprintStore.open(spark, folder).manifest.layout.gram == 20
+
+
+def test_dense_group_is_looked_up_in_rounds(spark, monkeypatch):
+    for name, n in (("SLICE", 1), ("MANY", 1), ("FEW", 1), ("BLOCK_KEYS", 500), ("HITS", 7)):
+        monkeypatch.setattr(dedup, name, n)
     history, new = batches()
     assert found(spark, history, new) == brute(history, new)
 
@@ -196,15 +210,81 @@ def test_empty_history_and_empty_batch(spark):
     assert found(spark, history, []) == set()
 
 
+def test_deliveries_queue_and_overlaps_go_together(spark):
+    rows = [(1, 1), (2, 1), (3, 2), (4, 3), (9, 3), (7, 4), (20, 5), (None, 5)]
+    df = spark.createDataFrame([(e, b) for e, b in rows], "entry_id long, batch_no int")
+    assert dedup.deliveries(df, 0.0, 100) == [(1, 2), (3, 3), (4, 9), (20, 20)]
+    assert dedup.deliveries(df, 0.2, 10) == [(1, 2), (3, 9), (20, 20)]
+
+
+def test_store_outlives_the_process(spark, tmp_path):
+    """Another process opens the store and finds the repeats; it fingerprints its own batch only."""
+    import json
+    import subprocess
+    import sys
+
+    history, new = batches()
+    folder = f"file://{tmp_path}/store"
+    dedup.FingerprintStore.create(spark.createDataFrame(history, HISTORY), folder).close()
+    spark.createDataFrame(new, BATCH).write.parquet(f"{tmp_path}/batch")
+    code = f"""
+import json
+import numpy as np
+from pyspark.sql import SparkSession
+from lacuna.llm import dedup
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows, of = spark.sparkContext.accumulator(0), dedup.fingerprints
+def counted(v, layout):
+    rows.add(len(v))
+    return of(v, layout)
+dedup.fingerprints = counted
+store = dedup.FingerprintStore.open(spark, {folder!r})
+out = sorted(r[0] for r in dedup.accept(store, spark.read.parquet("{tmp_path}/batch")).collect())
+print("RESULT", json.dumps([out, rows.value, store.manifest.parts]))
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    got = json.loads(run.stdout.split("RESULT", 1)[1])
+    assert set(got[0]) == brute(history, new)
+    assert 0 < got[1] <= len(new) and len(got[2]) == 2
+
+
+def test_part_that_was_never_committed_is_not_read(spark):
+    history, new = batches()
+    folder = Scratch(spark).path("store")
+    store = dedup.FingerprintStore.create(spark.createDataFrame(history, HISTORY), folder)
+    store._commit = lambda *_: None  # the process dies before the manifest is written
+    dedup.accept(store, spark.createDataFrame(new, BATCH))
+    store.close()
+    again = dedup.FingerprintStore.open(spark, folder)
+    assert {r[0] for r in dedup.accept(again, spark.createDataFrame(new, BATCH)).collect()} == brute(history, new)
+    again.close()
+
+
+def test_like_vectors_share_a_fingerprint():
+    """At a similarity of 0.95 nearly all pairs meet, whatever the layout."""
+    rng = np.random.default_rng(3)
+    a, b = unit(rng.standard_normal((1500, 64))), rng.standard_normal((1500, 64))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    for n in (1000, 1_000_000):
+        layout = dedup.layout_for(n)
+        runs = []
+        for v, first in ((a, 0), (0.95 * a + np.sqrt(1 - 0.95**2) * b, 10_000)):
+            keys, at, covers = dedup.fingerprints(v.astype(np.float32), layout)
+            runs.append(dedup.Run(keys, at, np.arange(len(v)) + first, covers).by_key())
+        hits = dedup.matches(runs[1], runs[0], 0, 64, True)
+        hits = hits[~hits["more"]]
+        assert (hits["ref"] - 10_000 == hits["t_ref"]).sum() >= 1490
+
+
 def test_bloom_filter_never_loses_a_key():
-    keys = np.random.default_rng(0).integers(0, 1 << 30, 5000)
-    size = 5000 * dedup.BLOOM_BITS
-    bits = np.zeros(size // 8, np.uint8)
-    at = np.unique(dedup.bloom_places(keys, size))
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    hit = lambda k: ((bits[dedup.bloom_places(k, size) >> 3] >> (dedup.bloom_places(k, size) & 7).astype(np.uint8)) & 1).all(axis=0)
-    assert hit(keys).all()
-    assert hit(np.arange(1 << 31, (1 << 31) + 5000)).mean() < 0.05
+    rng = np.random.default_rng(0)
+    keys = np.sort(rng.integers(0, 1 << 31, 5000).astype(np.uint32))
+    bits = dedup.bloom_filter(keys)
+    assert dedup.asked_before(bits, keys).all()
+    assert dedup.asked_before(bits, np.arange(1 << 31, (1 << 31) + 5000).astype(np.uint32)).mean() < 0.05
+    order = rng.permutation(5000)
+    again = dedup.seen_earlier(np.concatenate([keys, keys[:100]]), np.concatenate([order, order[:100] + 5000]))
+    assert again[5000:].all() and again[:5000].mean() < 0.05
 
 
 def top(rows, n):
