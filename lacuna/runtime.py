@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The parquet writer asks for a page's size only after 100 rows; with packed rows of a megabyte such pages, and the buffers to compress them, are huge.
+SMALL_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset, one of our own, but on one machine only.
@@ -43,7 +46,7 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").options(**SMALL_PAGES)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path(name))
