@@ -1,9 +1,14 @@
 """Detecting texts that were cut off by a field limit or a broken transfer.
 
-A stack automaton reads every whole text and says what its end leaves open: a tag, an entity, an escape,
-a multibyte character, a link, a bracket or quotation mark, or a sentence without terminator. Whether a
-missing terminator means a cut is decided from two baselines over all texts: how often the last words
-end a sentence or line anywhere in the corpus, and the length at which each source cuts its texts.
+A stack automaton reads every whole text: elements of markup go on its stack until they are closed, brackets
+and quotation marks until they are closed or their paragraph ends, and at the end of the text it stands inside
+a tag, an entity, an escape, a multibyte character or a link, or outside all of them. What is left open:
+
+- a construct broken off decides a cut; a bare name of a tag or entity does so if the corpus has whole ones
+  that begin like it, nested structure if three levels are open;
+- a missing terminator is judged by baselines over all texts: how often the last words end a sentence or line
+  anywhere in the corpus, and the length at which each source cuts its texts. An open stack lowers the bar;
+- whole sentences with an open stack, or an end in a closing mark, are cuts only at the length of the source's limit.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from pyspark.sql.window import Window
 # Characters and words by which posts are written.
 TERMINATORS = ".!?。！？…"
 CLOSERS = ")]}\"'»”’」』）>*~_"
-PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "」": "「", "』": "『", "）": "（"}
-ENTITIES = ("nbsp", "amp", "lt", "gt", "quot", "apos", "hellip", "ndash", "mdash", "rsquo", "lsquo", "rdquo", "ldquo", "laquo", "raquo", "copy", "euro", "eacute", "auml", "ouml", "uuml", "szlig")
+PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "“": "„", "」": "「", "』": "『", "）": "（"}
+OPENERS = "([{«“„「『（"
+VOID = ("br", "hr", "img", "p", "li", "input")  # elements that are not closed
 CUT_MARKS = r"[(<\[](?:more|continued|cont\.?|mehr|suite|más|続き)[)>\]]|(?:…|\.{3})\s*[»›]|\[\s*(?:…|\.{3})\s*\]|(?:…|\.{3})?\s*(?:read more|weiterlesen|lire la suite|leer más)"
 DOTS = r"…|\.{3,}"
 
@@ -31,6 +37,8 @@ DOTS = r"…|\.{3,}"
 LEAST_SHARE = 0.04
 #: Other texts in 10,000 (but 2 at least) that must end in a phrase for it to be a usual end, with dots or without.
 USUAL = 2
+#: Levels of brackets and quotation marks that no whole text leaves open.
+DEEP = 3
 #: Bits of the filter of contexts to count, per candidate text; its size is bounded by ``MOST_BITS``.
 BITS, MOST_BITS = 128, 1 << 26
 
@@ -44,15 +52,19 @@ class Reader:
         self.tokens = regex.compile(
             r"https?:/[\x21-\x7e]*|[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*|\d+(?:[.,:]\d+)*|\.{3,}|\S"
         ).findall
-        self.markup = regex.compile(r"<[^<>\n]{0,200}>|\[/?[a-zA-Z*]+(?:=[^\]\n]*)?\]|&(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);")
+        self.markup = regex.compile(r"<[^<>\n]*>|\[/?[a-zA-Z*]+(?:=[^\]\n]*)?\]|&(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);")
+        # what moves the stack; of markup the name, and whether it closes
+        self.events = regex.compile(rf'<(?P<c>/?)(?P<n>[a-zA-Z]+)[^<>\n]*>|\[(?P<c>/?)(?P<n>[a-zA-Z]+)(?:=[^\]\n]*)?\]|\n\s*\n|["{regex.escape(OPENERS + "".join(PAIRS))}]').finditer
+        self.names = regex.compile(r"[<\[]/?[a-zA-Z]+(?=[^<>\[\]\n]*[>\]])|&[a-zA-Z]+(?=;)").findall
         self.invisible = regex.compile("[​‌⁠﻿­]")
-        attribute = r'\s+[a-zA-Z-]+="[^"<>\s]*"'
-        self.open_tag = regex.compile(
-            rf'(?:<(?:[/!]?[a-zA-Z]{{0,10}}(?:{attribute})*(?:\s+(?:/|[a-zA-Z-]*(?:="?[^"<>\s]*)?))?)?'
-            r"|\[/?(?:b|i|u|s|url|quote|code|img|size|color|list|spoiler|qu?o?t?|ur?|co?d?|im?|si?z?)?(?:=[^\]\s]{0,200})?)$"
-        ).search
+        # states inside a construct, as what may follow its first character up to the end of the text
+        whole = r'\s+[a-zA-Z][\w:-]*="[^"<>\n]*"'
+        self.in_tag = regex.compile(rf'<[/!]?[a-zA-Z]*+(?:{whole})*+(?:\s+(?:/|[a-zA-Z-]*(?:="?[^"<>\s]*|="[^"<>\n]*)?))?').fullmatch
+        self.in_code = regex.compile(r"\[/?[a-zA-Z]*+(?:=[^\]\s]*)?").fullmatch
+        self.in_entity = regex.compile(r"&(?:#x?[0-9a-fA-F]*|[a-zA-Z]*)").fullmatch
+        self.percents = regex.compile(r"(?:%[0-9a-fA-F]{2})+$").search
+        self.bare = regex.compile(r"[<\[&]/?[a-zA-Z]*").fullmatch
         self.cjk = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]").match
-        self.open_entity = regex.compile(r"&(#x?[0-9a-fA-F]{0,6}|[a-zA-Z]{0,7})$").search
         self.open_escape = regex.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%[0-9A-F]{2}%[0-9A-F]?|=[0-9A-F]{2}=[0-9A-F]?|\\)$").search
         self.open_link = regex.compile(r"(?:^|\s)(https?:?/?|htt?)$").search
         self.mark = regex.compile(rf"\s*(?:{CUT_MARKS})\s*$", regex.I).search
@@ -77,38 +89,73 @@ class Reader:
             return f"<l>{host.count('.')}/" + "".join("9" if c.isdigit() else c for c in shape).replace("99", "9").replace("99", "9")
         return w.lower()
 
-    def left_open(self, text: str) -> list[str]:
-        """Brackets and quotation marks of the last line that are still open at its end."""
+    def stack(self, text: str) -> list[str]:
+        """What a whole text leaves open at its end: names of elements, brackets and quotation marks."""
         stack: list[str] = []
-        for c in self.markup.sub(" ", text):
-            if c in "([{«“「『（":
-                stack.append(c)
-            elif c in PAIRS:
-                if stack and stack[-1] == PAIRS[c]:
-                    stack.pop()
+        count: Counter = Counter()  # of each opener on the stack
+
+        def close(opener: str) -> bool:
+            """Closes the innermost ``opener`` and all that was opened after it; false if there is none."""
+            if not count[opener]:
+                return False
+            while True:
+                count[x := stack.pop()] -= 1
+                if x == opener:
+                    return True
+
+        for m in self.events(text):
+            c, name, opened = m.group(), (m.group("n") or "").lower(), None
+            if name:
+                if m.group("c"):
+                    close(name)
+                elif name not in VOID and not c.endswith("/>"):
+                    opened = name
+            elif c[0] == "\n":  # elements go on, the rest ends with its paragraph
+                if any(not x.isalpha() for x in stack):
+                    stack = [x for x in stack if x.isalpha()]
+                    count = Counter(stack)
             elif c == '"':
-                if stack and stack[-1] == c:
-                    stack.pop()
-                else:
-                    stack.append(c)
+                opened = None if close(c) else c
+            elif not (c in PAIRS and close(PAIRS[c])) and c in OPENERS:
+                opened = c
+            if opened:
+                stack.append(opened)
+                count[opened] += 1
         return stack
 
+    def inside(self, body: str) -> tuple[str, str]:
+        """The construct in which a text stops: ``("cut", "")``, ``("part", bare name)`` of one, or ``("", "")``."""
+        if m := self.percents(body[-12:]):
+            try:
+                bytes.fromhex(m.group().replace("%", "")).decode()
+            except UnicodeDecodeError as e:
+                if e.reason == "unexpected end of data":
+                    return "cut", ""
+        if body[-1] == "\ufffd" or self.open_link(body[-12:]) or self.open_escape(body[-12:]):
+            return "cut", ""
+        for first, state in (("<", self.in_tag), ("[", self.in_code), ("&", self.in_entity)):
+            at = body.rfind(first)  # the later ones lie inside no construct that an earlier one opened
+            if at >= 0 and state(body, at):
+                return ("part", body[at:].lower()) if self.bare(body, at) and body[at + 1 : at + 2] != "/" else ("cut", "")
+        return "", ""
+
     def end(self, text: str | None) -> tuple[str, list[str], str]:
         """How a text ends: (state, words of its last line up to the end, mark).
 
-        States: ``whole`` (nothing open), ``cut`` (structure broken off), ``mark`` (a mark of a cut),
-        ``dots``, ``open`` (no terminator), ``link`` (ends with a link).
+        States: ``whole`` (nothing open), ``cut`` (structure broken off), ``part`` (of a tag or entity), ``mark`` (a
+        mark of a cut), ``dots``, ``open`` (no terminator), ``link`` (ends with a link), ``held`` (ends well, but with an
+        open stack), ``closed`` (ends in a closing mark).
         """
         body = (text or "").rstrip()
         if not body:
             return "whole", [], ""
-        if body[-1] == "�":
-            return "cut", [], ""
-        entity = self.open_entity(body)
-        if self.open_tag(body[-260:]) or self.open_link(body[-12:]) or self.open_escape(body[-6:]):
-            return "cut", [], ""
-        if entity and (not entity.group(1) or entity.group(1)[0] == "#" or any(e.startswith(entity.group(1)) for e in ENTITIES)):
+        state, name = self.inside(body)
+        if state:
+            return state, [name] if name else [], ""
+        stack = self.stack(body)
+        if sum(not x.isalpha() for x in stack) >= DEEP:
             return "cut", [], ""
+        whole = "held" if stack else "whole"
         lines = self.lines(body)
         if not lines or any(self.sign(x) for x in lines[-3:]):
             return "whole", [], ""
@@ -118,7 +165,8 @@ class Reader:
         if last.lstrip().startswith((">", "|")) and (self.mark(last) or self.dots(last)):
             return "whole", [], ""  # the quoted text was cut, not the post
         if m := self.mark(last):
-            return "mark", self.words(last[: m.start()])[-9:], "mark"
+            words = self.words(last[: m.start()])
+            return ("whole", [], "") if words and words[-1][-1] in TERMINATORS else ("mark", words[-9:], "mark")
         if m := self.dots(last):
             return "dots", self.words(last[: m.start()])[-9:], "dots"
         if body[-1] in ">]" and self.markup.search(body[-210:]) and not self.words(last):
@@ -129,12 +177,14 @@ class Reader:
         w = words[-1]
         if w.startswith("<l>"):
             return "link", words[-9:], ""
-        if w[-1] in TERMINATORS or (w in CLOSERS and w != "'"):
-            return "whole", [], ""
+        if w[-1] in TERMINATORS:
+            return whole, [], ""
+        if w in CLOSERS and w != "'":
+            return whole if len(words) > 1 and words[-2][-1] in TERMINATORS else "closed", [], ""
         if not self.word(w):
             glued = w not in "-–/=+" or not body[-2:-1].isspace()
-            return ("cut", [], "") if w in ",;:([{«“„¿¡&'’-–/=+" and glued else ("whole", [], "")
-        return "open", words[-9:], "open" if self.left_open(last) else ""
+            return ("cut", [], "") if w in ",;:([{«“„¿¡&'’-–/=+" and glued else (whole, [], "")
+        return "open", words[-9:], "open" if stack else ""
 
 
 def _key(kind: str, words: list[str]) -> int:
@@ -154,7 +204,9 @@ def contexts(words: list[str], cjk: bool) -> list[int]:
 
 def count_text(reader: Reader, text: str | None, tally: dict[int, list[int]], wanted, vocabulary: Counter) -> None:
     """Adds the ends and inner uses of all wanted contexts of a whole text to ``tally``."""
-    for line in reader.lines(text or ""):
+    text = text or ""
+    vocabulary.update(x.lower() for x in reader.names(text))
+    for line in reader.lines(text):
         words = reader.words(line)
         n = len(words)
         vocabulary.update(words[:-1])
@@ -176,10 +228,19 @@ def count_text(reader: Reader, text: str | None, tally: dict[int, list[int]], wa
                     tally.setdefault(k, [0, 0])[0] += 1
 
 
+def beginnings(word: str) -> list[int]:
+    """Keys of what a longer word, or a whole tag or entity, begins with."""
+    if word[0].isalpha():
+        return [_key("p", [word[:k]]) for k in range(1, len(word))]
+    return [_key("t", [word[:k]]) for k in range(1, len(word) + 1)] if word[0] in "<[&" and word != "<n>" else []
+
+
 def candidate(reader: Reader, text: str | None) -> tuple[str, list[int]]:
-    """``(state, keys)`` of a text; the keys are those of ``contexts``, then dots, then prefix of a longer word."""
+    """``(state, keys)`` of a text; the keys are those of ``contexts``, then dots, then prefix of a longer word, then part of a tag or entity."""
     state, words, mark = reader.end(text)
-    if state in ("whole", "cut") or not words:
+    if state == "part":
+        return state, [0] * 8 + [_key("t", words)]
+    if state in ("whole", "cut", "held", "closed") or not words:
         return state, []
     prefix = _key("p", [words[-1]]) if words[-1][0].isalpha() else 0
     return state + ("+" if mark == "open" else ""), contexts(words, bool(reader.cjk(words[-1]))) + [_key("d", words[-2:]), prefix]
@@ -190,6 +251,10 @@ def decide(state: str, uses: list[tuple[int, int]], at_limit: bool, near_limit:
     usual = max(USUAL, USUAL * posts / 10_000)
     if state == "cut":
         return True
+    if state == "part":
+        return at_limit or uses[8][0] > 0
+    if state in ("held", "closed"):
+        return at_limit
     if state == "whole" or not uses:
         return False
     if state == "mark":
@@ -321,11 +386,9 @@ def truncated(documents: DataFrame, key: str, scratch) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             for w, c in words.items():
-                if w[0].isalpha():
-                    for k in range(1, len(w)):
-                        h = _key("p", [w[:k]])
-                        if wanted(h):
-                            tally.setdefault(h, [0, 0])[0] += c
+                for h in beginnings(w):
+                    if wanted(h):
+                        tally.setdefault(h, [0, 0])[0] += c
             keys = np.fromiter(tally.keys(), np.int64, len(tally))
             pairs = np.array(list(tally.values()), dtype=np.int64).reshape(len(keys), 2)
             tally.clear()
@@ -358,7 +421,7 @@ def truncated(documents: DataFrame, key: str, scratch) -> DataFrame:
             verdicts = []
             for state, n, m, cap, byte_cap, found in zip(b["state"], b["chars"], b["bytes"], b["chars_cap"], b["bytes_cap"], b["uses"]):
                 found = {p: (u["ends"], u["inner"]) for p, u in dict(found).items()} if found is not None else {}
-                uses = [found.get(i, (0, 0)) for i in range(8)] if state not in ("whole", "cut") else []
+                uses = [found.get(i, (0, 0)) for i in range(9)] if state not in ("whole", "cut", "held", "closed") else []
                 at_limit = n == cap or (byte_cap == byte_cap and byte_cap is not None and byte_cap - 3 <= m <= byte_cap)
                 near = cap == cap and cap is not None and cap - 16 <= n <= cap
                 verdicts.append(decide(state, uses, bool(at_limit), bool(near), total))

@@ -120,21 +120,40 @@ CASES = [
 def test_ends(text, cut):
     """The rules alone, with the counts of a small corpus."""
     reader = truncation.Reader()
-    docs = [t for _, _, t in corpus()] + [text]
+    docs = [t for _, _, t in corpus()] + [text, "Look at <span>this</span> &nbsp;now."]
     state, keys = truncation.candidate(reader, text)
     tally, words = {}, truncation.Counter()
     for t in docs:
         truncation.count_text(reader, t, tally, set(keys).__contains__, words)
     for w, c in words.items():
-        for k in range(1, len(w)):
-            h = truncation._key("p", [w[:k]])
+        for h in truncation.beginnings(w):
             if h in keys:
                 tally.setdefault(h, [0, 0])[0] += c
     assert truncation.decide(state, [tuple(tally.get(k, (0, 0))) for k in keys], False, False) is cut
 
 
+@pytest.mark.parametrize(
+    "text, state, stack",
+    [
+        ('He said "this is a long quotation that never ends.', "held", ['"']), ("<b>This is bold and never closed.", "held", ["b"]), ('{"a": [1, 2, {"b": "c."', "cut", ["{", "[", "{"]),
+        ('A "quoted" word (and more) is [b]fine[/b].', "whole", []), ('One "open quote.\n\nNext paragraph ends.', "whole", []), ("[quote]One.\n\nTwo.", "held", ["quote"]), ("5 < 6 is true.", "whole", []),
+        ('See <a href="http://e.org/' + "y" * 5000, "cut", None), ('See <a title="' + "many words " * 500, "cut", None), ("See [url=http://e.or", "cut", None), ("A link %E2%82", "cut", None), ("A link %E2%82%AC.", "whole", []),
+        ("He wrote \\u20", "cut", None), ("See &#82", "cut", None), ("See <blockq", "part", None), ("See [quo", "part", None), ("My guess (only a guess)", "closed", []), ("<b>" * 20_000 + "</i>" * 20_000 + " x.", "held", ["b"] * 20_000),
+    ],
+)
+def test_stack_reads_the_whole_text(text, state, stack):
+    reader = truncation.Reader()
+    assert truncation.candidate(reader, text)[0] == state
+    assert stack is None or reader.stack(text) == stack
+
+
+def test_held_text_is_cut_only_at_its_limit():
+    for state in ("held", "closed"):
+        assert truncation.decide(state, [], True, False) and not truncation.decide(state, [], False, True)
+
+
 def test_truncated_equals_plain_rules(spark):
-    rows = corpus() + [(1000 + i, None if i % 2 else "web", t) for i, (t, _) in enumerate(CASES)]
+    rows = corpus() + [(999, "web", "Look at <span>this</span> now.")] + [(1000 + i, None if i % 2 else "web", t) for i, (t, _) in enumerate(CASES)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, source string, text string, cut int").repartition(3)
     out = {r["doc_id"]: r["cut"] for r in truncation.truncated(df, "doc_id", Scratch(spark)).collect()}
     assert len(out) == len(rows)
