@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUMMARY = "part int, n double, ls array<double>, ss double"
+SUMMARY = "cell int, part int, n double, ls array<double>, ss double"
 
 
 class _Node:
@@ -247,23 +247,18 @@ def alike_groups(cents: np.ndarray, mass: np.ndarray, min_similarity: float, blo
     each linked component; memory is one block of similarities.
     """
     m = len(cents)
-    root = np.arange(m)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    roots = np.arange(m)
     f = cents.astype(np.float32)
-    for i in range(0, m, block):
-        a, b = np.nonzero(f[i : i + block] @ f[i:].T >= min_similarity)
-        for x, y in zip((a + i).tolist(), (b + i).tolist()):
-            if x < y:
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    root[max(rx, ry)] = min(rx, ry)
-    roots = np.array([find(i) for i in range(m)], dtype=int)
+    while True:  # the smallest number of a linked row spreads, and numbers follow their own number
+        before = roots.copy()
+        for i in range(0, m, block):
+            near = f[i : i + block] @ f.T >= min_similarity
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = True
+            roots[i : i + block] = np.where(near, roots[None, :], m).min(axis=1)
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+        if (roots == before).all():
+            break
     label = np.arange(m)
     order = np.argsort(roots, kind="stable")
     bounds = np.flatnonzero(np.diff(roots[order])) + 1
@@ -287,13 +282,35 @@ def alike_groups(cents: np.ndarray, mass: np.ndarray, min_similarity: float, blo
     return label
 
 
-def summarise(vectors: DataFrame, dim: int, max_leaves: int, threshold: float = 0.0, fan_in: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf entries of one tree over all rows of ``vectors`` (column v), by a tree of merges.
+def rows_of(tree: CFTree, cell: int, part: int) -> pd.DataFrame:
+    """The leaf entries of a tree as rows of ``SUMMARY``."""
+    n, ls, ss = tree.entries()
+    return pd.DataFrame({"cell": np.full(len(n), cell, np.int32), "part": np.full(len(n), part, np.int32), "n": n, "ls": list(ls), "ss": ss})
+
 
-    Every partition sends at most ``max_leaves`` entries, ``fan_in`` summaries merge in one task per
-    round, and the driver gets the last ``max_leaves`` entries only.
+def reduced(entries: DataFrame, parts: int, dim: int, max_leaves: int, threshold: float = 0.0, fan_in: int = 4) -> DataFrame:
+    """Summaries (``SUMMARY``) of each cell, merged to one: ``fan_in`` at a time by one task a round.
+
+    ``parts`` is the most parts that a cell has. A merge inserts the entries of its summaries into one tree.
     """
 
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].nunique() == 1:
+            return pdf.assign(part=pdf["part"] // fan_in)
+        tree = CFTree(dim, threshold, max_leaves)
+        pdf = pdf.sort_values(["part", "n", "ss"], kind="stable")
+        tree.insert_rows(np.array(pdf["ls"].tolist(), dtype=float), pdf["n"].to_numpy(), pdf["ss"].to_numpy())
+        return rows_of(tree, int(pdf["cell"].iloc[0]), int(pdf["part"].iloc[0]) // fan_in)
+
+    while parts > 1:
+        entries = entries.groupBy("cell", (F.col("part") / F.lit(fan_in)).cast("int").alias("_g")).applyInPandas(merge, SUMMARY)
+        parts = -(-parts // fan_in)
+    return entries
+
+
+def summary(vectors: DataFrame, dim: int, max_leaves: int, threshold: float = 0.0) -> DataFrame:
+    """Leaf entries (``SUMMARY``) of one tree over all rows of ``vectors`` (column v): a tree for each partition, then merges."""
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -301,26 +318,18 @@ def summarise(vectors: DataFrame, dim: int, max_leaves: int, threshold: float =
         for b in batches:
             if len(b):
                 tree.insert_rows(np.array(b["v"].tolist(), dtype=float))
-        yield _rows(tree, TaskContext.get().partitionId())
+        yield rows_of(tree, 0, TaskContext.get().partitionId())
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = CFTree(dim, threshold, max_leaves)
-        pdf = pdf.sort_values(["part", "n", "ss"], kind="stable")
-        tree.insert_rows(np.array(pdf["ls"].tolist(), dtype=float), pdf["n"].to_numpy(), pdf["ss"].to_numpy())
-        return _rows(tree, int(pdf["part"].iloc[0]) // fan_in)
+    return reduced(vectors.select("v").mapInPandas(build, SUMMARY), vectors.rdd.getNumPartitions(), dim, max_leaves, threshold)
 
-    def _rows(tree: CFTree, part: int) -> pd.DataFrame:
-        n, ls, ss = tree.entries()
-        return pd.DataFrame({"part": np.full(len(n), part, np.int32), "n": n, "ls": list(ls), "ss": ss})
 
-    parts = vectors.rdd.getNumPartitions()
-    entries = vectors.select("v").mapInPandas(build, SUMMARY)
-    while parts > 1:
-        entries = entries.groupBy((F.col("part") / F.lit(fan_in)).cast("int").alias("_g")).applyInPandas(merge, SUMMARY)
-        parts = -(-parts // fan_in)
-    got = entries.toPandas()
-    if not len(got):
-        return np.zeros(0), np.zeros((0, dim)), np.zeros(0)
-    ls = np.array(got["ls"].tolist(), dtype=float)
+def summarise(vectors: DataFrame, dim: int, max_leaves: int, threshold: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``summary`` on the driver: at most ``max_leaves`` entries (n, linear sums, square sums), in order of their sums."""
+    got = summary(vectors, dim, max_leaves, threshold).toPandas()
+    return ordered(got, dim)
+
+
+def ordered(entries: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ls = np.array(entries["ls"].tolist(), dtype=float).reshape(len(entries), dim)
     order = np.lexsort(ls.T[::-1])
-    return got["n"].to_numpy()[order], ls[order], got["ss"].to_numpy()[order]
+    return entries["n"].to_numpy(dtype=float)[order], ls[order], entries["ss"].to_numpy(dtype=float)[order]

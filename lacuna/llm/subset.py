@@ -1,4 +1,13 @@
-"""Choosing a varied subset: cluster-feature tree, Ward linkage, cut at k groups, the record nearest each centre."""
+"""Choosing a varied subset: cluster-feature tree, Ward linkage, cut at k groups, the record nearest each centre.
+
+A leaf entry weighs by its variety, not by its rows: entries that are alike share a weight of 1, so Ward's
+linkage does not spend groups on the inside of a large group of like rows. A row belongs to the Ward
+group of its nearest leaf entry, and each group gives the member nearest its centre.
+
+One tree of ``LEAVES`` entries serves up to ``CENTRES`` groups. For larger subsets Ward's cut of that
+tree gives cells, each cell gets a tree of its own and as many groups as its share of the weight;
+trees and linkage of cells run in tasks. The driver sends the leaf entries to the tasks and holds nothing else.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import cftree
+from lacuna.runtime import Scratch
 
-#: Leaf entries that summarise the collection; at least twice the largest subset asked for.
-LEAVES = 4096
+#: Leaf entries of one tree, and the most groups that it is cut into.
+LEAVES, CENTRES = 4096, 1024
+#: Most cells, so that all leaf entries can be broadcast (64 values: 134 MB); larger subsets are refused.
+MAX_CELLS = 128
+#: Rows of a cell in one tree before merging.
+BLOCK_ROWS = 32_768
 
 
 def variety_mass(cents: np.ndarray, n: np.ndarray, min_similarity: float, block: int = 1024) -> np.ndarray:
@@ -24,34 +38,32 @@ def variety_mass(cents: np.ndarray, n: np.ndarray, min_similarity: float, block:
     return n / np.maximum(around, n)
 
 
-def centres_for(n: np.ndarray, ls: np.ndarray, sizes: list[int], min_similarity: float) -> dict[int, np.ndarray]:
-    """Unit centres of each size: Ward's tree over the leaf entries, cut once per size."""
+def ward_groups(n: np.ndarray, ls: np.ndarray, sizes: list[int], min_similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size the group of every leaf entry and the unit centres of the groups: one Ward tree, cut once per size."""
     cents = ls / n[:, None]
     mass = variety_mass(cents, n, min_similarity)
     merges = cftree.ward(cents, mass)
-    out = {}
+    out = []
     for k in sizes:
         group = cftree.cut(len(cents), merges, k)
         sums = np.zeros((group.max() + 1, cents.shape[1]))
         np.add.at(sums, group, cents * mass[:, None])
-        out[k] = unlike_entries(cents, group, _unit(sums), min_similarity).astype(np.float32)
+        out.append((group, _unit(sums)))
     return out
 
 
-def unlike_entries(cents: np.ndarray, group: np.ndarray, centres: np.ndarray, min_similarity: float) -> np.ndarray:
-    """For each group its leaf entry nearest the group's centre that is not alike one taken before.
-
-    The mean of unlike entries may lie inside a large group of like rows; an entry of its own keeps such a
-    group from giving the record of several centres. A group with like entries only keeps its nearest.
-    """
-    unit = _unit(cents)
-    taken = np.zeros_like(centres)
-    for g in range(len(centres)):
-        own = unit[group == g]
-        own = own[np.argsort(-(own @ centres[g]), kind="stable")]
-        free = np.flatnonzero((own @ taken[:g].T < min_similarity).all(axis=1)) if g else [0]
-        taken[g] = own[free[0] if len(free) else 0]
-    return taken
+def shares(weights: dict[int, tuple[float, int]], k: int) -> dict[int, int]:
+    """``k`` places dealt in proportion to the weights, never more than the second number of each; the largest remainders get the rest."""
+    out = dict.fromkeys(weights, 0)
+    while (left := min(k, sum(most for _, most in weights.values())) - sum(out.values())) > 0:
+        free = {c: w for c, (w, most) in weights.items() if out[c] < most}
+        exact = {c: left * w / sum(free.values()) for c, w in free.items()}
+        dealt = {c: min(int(x), weights[c][1] - out[c]) for c, x in exact.items()}
+        if not any(dealt.values()):
+            dealt = dict.fromkeys(sorted(free, key=lambda c: (-exact[c], c))[:left], 1)
+        for c, x in dealt.items():
+            out[c] += x
+    return out
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -63,84 +75,132 @@ def varied_subset(vectors: DataFrame, key: str, sizes: list[int], min_similarity
 
     ``vectors`` must hold unit vectors, one row per key, and be cheap to read again (a written table).
     Rows with a similarity of ``min_similarity`` or more count as alike: a group of like rows has mass 1
-    whatever its size, so it takes more than one place only when the cut is finer than the groups. Each
-    group gives the row nearest its centre (ties: the smaller key); a centre that got no row is
-    replaced by the nearest row not yet chosen. Two rows of one group are chosen only when no row unlike
-    the others is left. Only centres and chosen rows (size x dim) are broadcast or reach the driver.
-    An empty table gives an empty result; a size of 0 or less gives no rows.
+    whatever its size, so it takes more than one place only where the cut is finer than the groups. Each
+    Ward group gives the row nearest its centre (ties: the smaller key), with that similarity. Where the rows
+    have fewer different leaf entries than places, the rows farthest from the centres of the heaviest groups
+    follow, then rows by their key, with similarity null. An empty table gives an empty result; a size of 0 or
+    less gives no rows; a size over ``MAX_CELLS * CENTRES`` (131,072) that is less than all rows is refused.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
     total = vectors.count()
-    empty = spark.createDataFrame([], f"size long, `{key}` {kind}, similarity double")
-    whole = [k for k in sizes if k >= total]
+    out = spark.createDataFrame([], f"size long, `{key}` {kind}, similarity double")
+    for k in sorted({k for k in sizes if k >= total}):
+        out = out.unionByName(vectors.select(F.lit(k).cast("long").alias("size"), key, F.lit(1.0).alias("similarity")))
     asked = sorted({k for k in sizes if 0 < k < total})
-    parts = [vectors.select(F.lit(k).cast("long").alias("size"), key, F.lit(1.0).alias("similarity")) for k in whole]
-    if asked:
-        dim = len(vectors.select("v").first()[0])
-        n, ls, _ = cftree.summarise(vectors, dim, max(LEAVES, 2 * asked[-1]))
-        centres = centres_for(n, ls, asked, min_similarity)
-        for k in asked:
-            picks = _records(vectors, key, centres[k], min_similarity)
-            parts.append(spark.createDataFrame([(k, i, s) for i, s in picks], empty.schema))
-            if len(picks) < k:  # too few different vectors for k centres
-                taken = spark.createDataFrame([(i,) for i, _ in picks], empty.select(key).schema)
-                more = vectors.select(key).join(F.broadcast(taken), key, "left_anti").orderBy(key).limit(k - len(picks))
-                parts.append(more.select(F.lit(k).cast("long").alias("size"), key, F.lit(1.0).alias("similarity")))
-    out = empty
-    for p in parts:
-        out = out.unionByName(p)
+    if not asked:
+        return out
+    if asked[-1] > MAX_CELLS * CENTRES:
+        raise ValueError(f"a subset of {asked[-1]} rows is more than {MAX_CELLS * CENTRES}")
+    dim = len(vectors.select("v").first()[0])
+    scratch = Scratch(spark)
+    top = scratch.write(cftree.summary(vectors, dim, LEAVES), "top")
+    for cells in sorted({-(-k // CENTRES) for k in asked}):
+        mine = [k for k in asked if -(-k // CENTRES) == cells]
+        out = out.unionByName(_chosen(vectors, key, dim, top, cells, mine, min_similarity, scratch))
     return out
 
 
-def _records(vectors: DataFrame, key: str, centres: np.ndarray, min_similarity: float, strict_rounds: int = 12) -> list[tuple]:
-    """``(key, similarity)`` of the record for each centre.
-
-    Each round is one pass that gives every open centre the nearest of the rows that are not alike a
-    chosen row; of new records alike each other the one nearest its centre stays. When no unlike row is
-    left (or after ``strict_rounds``), open centres take their nearest rows that are not chosen yet.
-    """
+def _chosen(vectors: DataFrame, key: str, dim: int, top: DataFrame, cells: int, sizes: list[int], min_similarity: float, scratch: Scratch) -> DataFrame:
+    """The rows of the sizes that are cut from so many cells."""
     spark, kind = vectors.sparkSession, vectors.schema[key].dataType.simpleString()
-    chosen: list[tuple] = []  # (key, similarity, vector)
-    open_, strict, turn = list(range(len(centres))), True, 0
-    while open_:
-        turn += 1
-        strict = strict and turn <= strict_rounds
-        state = spark.sparkContext.broadcast((centres[open_], np.array([v for _, _, v in chosen], np.float32), {i for i, _, _ in chosen}, strict))
-
-        def nearest(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
-            wanted, taken, ids, strict = state.value
-            best: pd.DataFrame | None = None
-            for b in batches:
-                if not len(b):
-                    continue
+    n, ls, _ = cftree.ordered(top.toPandas(), dim)
+    cell_of = ward_groups(n, ls, [cells], min_similarity)[0][0]
+    route = spark.sparkContext.broadcast((_unit(ls).astype(np.float32), cell_of.astype(np.int32)))
+    trees = top if cells == 1 else scratch.write(_cell_trees(vectors, key, dim, route), f"trees{cells}")
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, ls, _ = cftree.ordered(pdf, dim)
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "mass": [variety_mass(ls / n[:, None], n, min_similarity).sum()], "most": [len(n)]})
+
+    weighed = trees.groupBy("cell").applyInPandas(weigh, "cell int, mass double, most int")
+    weights = {r["cell"]: (r["mass"], r["most"]) for r in weighed.collect()}
+    places = [shares(weights, k) for k in sizes]
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Ward's groups of one cell for each size: the leaf entries, the group of each, and the centres."""
+        cell = int(pdf["cell"].iloc[0])
+        n, ls, _ = cftree.ordered(pdf, dim)
+        at = [i for i, p in enumerate(places) if p[cell]]
+        found = ward_groups(n, ls, [places[i][cell] for i in at], min_similarity)
+        packed = [x.astype(np.int32).tobytes() for x, _ in found], [x.astype(np.float32).tobytes() for _, x in found]
+        return pd.DataFrame([(cell, _unit(ls).astype(np.float32).tobytes(), at, *packed)], columns=["cell", "units", "at", "groups", "centres"])
+
+    linked = trees.groupBy("cell").applyInPandas(link, "cell int, units binary, at array<int>, groups array<binary>, centres array<binary>").collect()
+    floats = lambda x: np.frombuffer(x, np.float32).reshape(-1, dim)
+    plan = {r["cell"]: (floats(r["units"]), [(at, np.frombuffer(g, np.int32), floats(c)) for at, g, c in zip(r["at"], r["groups"], r["centres"])]) for r in linked}
+    sent = spark.sparkContext.broadcast(plan)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each group the member nearest its centre and the one farthest from it, in this partition."""
+        top_units, top_cells = route.value
+        near: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            v = np.array(b["v"].tolist(), dtype=np.float32)
+            home = top_cells[(v @ top_units.T).argmax(axis=1)] if len(sent.value) > 1 else np.zeros(len(v), np.int32)
+            for c in np.unique(home):
+                own = np.flatnonzero(home == c)
+                units, cuts = sent.value[c]
+                entry = (v[own] @ units.T).argmax(axis=1)
+                for at, groups, centres in cuts:
+                    g = groups[entry]
+                    sims = np.einsum("ij,ij->i", v[own], centres[g]).astype(float)
+                    near.append(pd.DataFrame({"at": at, "cell": c, "g": g, key: b[key].to_numpy()[own], "near": sims, "rows": 1}))
+            near = [_ends(pd.concat(near), key)]
+        if near:
+            yield near[0]
+
+    schema = f"at int, cell int, g int, `{key}` {kind}, near double, rows long"
+    found = vectors.select(key, "v").mapInPandas(best, schema)
+    nearest, farthest = F.struct(-F.col("near"), F.col(key)), F.struct(F.col("near"), F.col(key))
+    groups = found.groupBy("at", "cell", "g").agg(F.min_by(F.struct(key, "near"), nearest).alias("a"), F.min_by(F.struct(key, "near"), farthest).alias("z"), F.sum("rows").alias("rows"))
+    groups = scratch.write(groups, f"groups{cells}")
+    out = None
+    for i, k in enumerate(sizes):
+        own = groups.where(F.col("at") == i)
+        picks = own.select("a.*")
+        missing = k - picks.count()
+        chosen = picks.select(F.lit(k).cast("long").alias("size"), key, F.col("near").alias("similarity"))
+        if missing:  # fewer groups than places: at most k rows of the farthest, then by key
+            far = own.where(F.col(f"a.{key}") != F.col(f"z.{key}")).orderBy(F.desc("rows"), "cell", "g").select(f"z.{key}").limit(missing)
+            taken = picks.select(key).unionByName(far)
+            rest = vectors.select(key).join(taken, key, "left_anti").orderBy(key).limit(missing)
+            more = far.withColumn("_o", F.lit(0)).unionByName(rest.withColumn("_o", F.lit(1))).orderBy("_o", key).limit(missing)
+            chosen = chosen.unionByName(more.select(F.lit(k).cast("long").alias("size"), key, F.lit(None).cast("double").alias("similarity")))
+        out = chosen if out is None else out.unionByName(chosen)
+    return out
+
+
+def _ends(f: pd.DataFrame, key: str) -> pd.DataFrame:
+    """The nearest member of each group, with the count of all, and the farthest one."""
+    group = ["at", "cell", "g"]
+    near = f.sort_values(["near", key], ascending=[False, True], kind="stable")
+    far = near.sort_values(["near", key], kind="stable")
+    near = near.assign(rows=near.groupby(group, sort=False)["rows"].transform("sum"))
+    return pd.concat([x[~x.duplicated(group)] for x in (near, far.assign(rows=0))], ignore_index=True)
+
+
+def _cell_trees(vectors: DataFrame, key: str, dim: int, route) -> DataFrame:
+    """Leaf entries of one tree for each cell: rows go to blocks of their cell, a tree for each block, then merges."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units, cell_of = route.value
+        for b in batches:
+            if len(b):
                 v = np.array(b["v"].tolist(), dtype=np.float32)
-                free = ~b[key].isin(ids).to_numpy()
-                if strict and len(taken):
-                    free &= (v @ taken.T < min_similarity).all(axis=1)
-                if not free.any():
-                    continue
-                sims = v[free] @ wanted.T
-                own = sims.argmax(axis=1)
-                f = pd.DataFrame({"centre": own.astype(np.int32), key: b[key].to_numpy()[free], "similarity": sims[np.arange(len(own)), own].astype(float), "v": list(v[free])})
-                f = f if best is None else pd.concat([best, f])
-                best = f.sort_values(["similarity", key], ascending=[False, True], kind="stable").drop_duplicates("centre")
-            if best is not None:
-                yield best
-
-        found = vectors.select(key, "v").mapInPandas(nearest, f"centre int, `{key}` {kind}, similarity double, v array<float>")
-        order = F.struct(-F.col("similarity"), F.col(key))
-        top = found.groupBy("centre").agg(F.min_by(F.struct(key, "similarity", "v"), order).alias("r")).select("centre", "r.*").collect()
-        filled = set()
-        for centre, i, sim, v in sorted(top, key=lambda r: (-r[2], r[1])):
-            v = np.array(v, np.float32)
-            if not strict or not chosen or (np.array([c for _, _, c in chosen]) @ v < min_similarity).all():
-                chosen.append((i, sim, v))
-                filled.add(open_[centre])
-        state.unpersist()
-        if not filled:
-            if not strict:
-                break
-            strict = False
-        open_ = [g for g in open_ if g not in filled]
-    return [(i, s) for i, s, _ in chosen]
+                yield pd.DataFrame({key: b[key], "cell": cell_of[(v @ units.T).argmax(axis=1)], "v": [x.tobytes() for x in v]})
+
+    placed = vectors.select(key, "v").mapInPandas(to_cell, f"`{key}` {kind}, cell int, v binary")
+    blocks = -(-max(r["count"] for r in placed.groupBy("cell").count().collect()) // BLOCK_ROWS)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        tree = cftree.CFTree(dim, 0.0, LEAVES)
+        tree.insert_rows(np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1).astype(float))
+        return cftree.rows_of(tree, int(pdf["cell"].iloc[0]), int(pdf["_part"].iloc[0]))
+
+    salted = placed.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return cftree.reduced(salted.groupBy("cell", "_part").applyInPandas(build, cftree.SUMMARY), blocks, dim, LEAVES)

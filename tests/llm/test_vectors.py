@@ -90,6 +90,35 @@ def test_subset_takes_each_group_once(spark, tmp_path):
     assert {r["id"] for r in again} == set(by[10])
 
 
+def test_large_subset_is_cut_from_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(subset, "CENTRES", 8)
+    monkeypatch.setattr(subset, "BLOCK_ROWS", 40)
+    m, label = groups([300, 60, 20] + [2] * 40)
+    df = table(spark, m, tmp_path / "v")
+    out = [r["id"] for r in subset.varied_subset(df, "id", [30]).collect()]
+    assert len(out) == len(set(out)) == 30
+    assert len({label[int(i[1:])] for i in out}) >= 26
+    monkeypatch.setattr(subset, "MAX_CELLS", 2)
+    with pytest.raises(ValueError):
+        subset.varied_subset(df, "id", [30])
+
+
+def test_record_is_nearest_the_centre_of_its_group(spark, tmp_path):
+    m, label = groups([40, 30, 20])
+    out = {r["id"]: r["similarity"] for r in subset.varied_subset(table(spark, m, tmp_path / "v"), "id", [3]).collect()}
+    for g in range(3):
+        own = np.flatnonzero(label == g)
+        centre = unit(m[own].mean(axis=0, keepdims=True))[0]
+        best = own[np.argmax(m[own] @ centre)]
+        assert f"s{best:05d}" in out
+
+
+def test_places_are_dealt_by_weight():
+    assert subset.shares({0: (50.0, 90), 1: (30.0, 90), 2: (20.0, 90)}, 10) == {0: 5, 1: 3, 2: 2}
+    assert subset.shares({0: (8.0, 2), 1: (1.0, 9), 2: (1.0, 9)}, 7) == {0: 2, 1: 3, 2: 2}
+    assert subset.shares({0: (2.0, 2), 1: (1.0, 1)}, 9) == {0: 2, 1: 1}
+
+
 def test_subset_of_copies_is_whole(spark, tmp_path):
     m, _ = groups([1, 1])
     df = table(spark, np.repeat(m, 20, axis=0), tmp_path / "v")
