@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from lacuna.runtime import Scratch
 
-SHARD_ITEMS = 20_000
+#: Items of a shard; the number of shards follows from the items alone, so containers are the same on any cluster.
+SHARD_ITEMS = 10_000
 #: A bin filled less than this is opened again in the next round.
 TIGHT = 0.995
-ROUNDS = 3
+#: Rounds go on until one shard is left, or a round leaves more than this share of its items in loose bins.
+LEAST_GAIN = 0.9
 
 
 class _Unpacked:
@@ -112,25 +114,17 @@ def pack(items: DataFrame, key: str, size: str, targets: dict[str, int], scratch
         pieces.where("tokens = 0").withColumn("container_id", F.lit("empty")).select(columns),
     ]
     open_ = pieces.where(~full & (F.col("tokens") > 0)).select("target_name", key, "piece", "start_token", "tokens")
-    shards = 0
-    for turn in range(ROUNDS):
-        counts = dict(open_.groupBy("target_name").count().collect())
-        if not counts:
-            break
-        fewer = max(1, -(-max(counts.values()) // SHARD_ITEMS))
-        if turn == 0:
-            fewer = max(fewer, min(spark.sparkContext.defaultParallelism, max(counts.values()) // 2000 or 1))
-        elif fewer >= shards and shards == 1:
-            break
-        shards = fewer
-        final = turn == ROUNDS - 1 or shards == 1
-
+    turn, before = 0, None
+    while counts := dict(open_.groupBy("target_name").count().collect()):
+        items = max(counts.values())
+        shards = -(-items // SHARD_ITEMS)
+        final = shards == 1 or (before is not None and items > LEAST_GAIN * before)
         dealt = open_.withColumn("_shard", F.pmod(F.xxhash64(key, F.col("piece"), F.lit(turn)), F.lit(shards)).cast("int"))
         packed = scratch.write(dealt.groupBy("target_name", "_shard").applyInPandas(_filler(key, targets, turn, final, columns), out + ", loose boolean"), f"packed{turn}")
         done.append(packed.where("NOT loose").select(columns))
         if final:
             break
-        open_ = packed.where("loose").select("target_name", key, "piece", "start_token", "tokens")
+        open_, turn, before = packed.where("loose").select("target_name", key, "piece", "start_token", "tokens"), turn + 1, items
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)

@@ -101,6 +101,14 @@ def test_shards_are_packed_again(spark, monkeypatch):
     assert sum(n for _, n in rows) / (512 * len({r["container_id"] for r in out})) > 0.97
 
 
+def test_containers_do_not_depend_on_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 60)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(1, 400, 400))], "doc_id long, tokens long")
+    packed = [sorted((r["doc_id"], r["container_id"]) for r in packing.pack(df.repartition(n), "doc_id", "tokens", {"short": 512}, Scratch(spark)).collect()) for n in (1, 5)]
+    assert packed[0] == packed[1]
+
+
 SENTENCES = ["The camera was moved behind the old boiler.", "Nobody knows why the server stays silent.", "We compared the files and the report looks fine.", "My colleague swears by the green cable."]
 
 
