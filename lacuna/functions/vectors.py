@@ -27,8 +27,10 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
+    # the norm travels beside the values: inside their lambda it would be computed once for each of them
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    held = F.array(F.struct(F.when(n > 0, n).otherwise(F.lit(1.0)).alias("n"), a.alias("a")))
+    return F.when(a.isNotNull(), F.transform(held, lambda s: F.transform(s["a"], lambda x: x.cast("double") / s["n"]))[0])
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lacuna import config
 
+#: Rows of a partition while fitting.
+PARTITION_ROWS = 20_000
+
 
 def clusters_for(wanted: int, n: int) -> int:
     """Clusters to fit: more than the rows become one less than the rows, at least one."""
@@ -18,14 +21,17 @@ def clusters_for(wanted: int, n: int) -> int:
 def kmeans(rows: DataFrame, id_: str, k: int, vector: str = "v", runs: int = config.KMEANS_RUNS, seed: int = config.SEED) -> DataFrame:
     """``(id, cluster_id)``: the best of ``runs`` fits by cost, whatever the size; one cluster if k is 1 or less.
 
-    Small inputs are sorted into one partition so that the fit does not depend on how they were read.
+    There are no more clusters than different vectors.
+
+    Rows are dealt to partitions by a hash of their id and sorted there, so that the fit does not depend on how they were read.
     """
     n = rows.count()
-    k = clusters_for(k, n)
+    k = min(clusters_for(k, n), rows.select(F.xxhash64(vector).alias("h")).distinct().limit(max(1, k)).count())
     if k <= 1:
         return rows.select(id_, F.lit(0).alias("cluster_id"))
     data = rows.select(id_, array_to_vector(F.col(vector)).alias("features"))
-    data = data.orderBy(id_).coalesce(1).persist() if n <= 20_000 else data.persist()
+    data = data.repartition(-(-n // PARTITION_ROWS), id_).sortWithinPartitions(id_).persist()
     models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(runs)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select(id_, F.col("prediction").alias("cluster_id"))
+    data.unpersist()
+    return best.transform(rows.select(id_, array_to_vector(F.col(vector)).alias("features"))).select(id_, F.col("prediction").alias("cluster_id"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +49,30 @@ class Run:
 
 
 def analyze(
-    samples: DataFrame, cfg: config.AnalysisConfig, name: str = "dataset", provider: embedding.Provider | None = None, cache: DataFrame | None = None, content: str = "content"
+    samples: DataFrame,
+    cfg: config.AnalysisConfig,
+    name: str = "dataset",
+    provider: embedding.Provider | None = None,
+    cache: DataFrame | None = None,
+    content: str = "content",
+    describers: Sequence[Callable[[str], str]] = (),
+    categories: DataFrame | None = None,
+    model: projection.PCAModel | None = None,
+    known_ids: DataFrame | None = None,
 ) -> Run:
     """Embed, cluster, project, label, find gaps.
 
     ``samples`` needs ``sample_id``; ``embedding`` (or ``content`` with a provider, cached by content
-    hash), ``tags``, ``cluster_label`` are used where present. Other columns are ignored.
+    hash), ``tags``, ``cluster_label`` are used where present. Other columns are ignored. ``clear_cache`` forgets
+    all stored vectors and the cache first. ``describe`` asks ``describers`` (picklable; the next one where
+    one fails) for representatives of every cluster; labels and ``cluster_diversity`` come from the answers.
+    Expected categories need vectors of the samples' own model: from ``provider``, or ``categories`` (child, v). A
+    ``model`` of an earlier run over ``known_ids`` (sample_id) is used again unless too many samples are new.
     """
+    if cfg.expected_categories.strip() and provider is None and categories is None:
+        raise ValueError("expected categories need a provider or vectors of the samples' own model")
+    if cfg.describe and not describers:
+        raise ValueError("descriptions need a describer")
     spark = samples.sparkSession
     scratch = Scratch(spark)
     if not samples.limit(1).count():
@@ -66,6 +84,8 @@ def analyze(
         if column not in base.columns:
             base = base.withColumn(column, F.lit(None).cast(kind))
     entries = None
+    if cfg.clear_cache:
+        base, cache = base.withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("embedding_error", F.lit(None).cast("string")), None
     if provider is not None and content in base.columns:
         base = base.withColumn("file_hash", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
         known = cache if cache is not None else spark.createDataFrame([], "file_hash string, embedding array<float>, dim int, dtype string, created_at double")
@@ -89,17 +109,22 @@ def analyze(
         measured = clusters.outliers(measured).withColumnRenamed("outlier", "is_outlier")
     else:
         measured = measured.withColumn("is_outlier", F.col("cluster_id") == config.NOISE)
-    model = projection.fit(unit)
+    if model is None or known_ids is None or projection.drift(known_ids, unit.select("sample_id")).first()["retrain"]:
+        model = projection.fit(unit)
     rows = scratch.write(projection.transform(model, measured), "rows")
     plain = clusters.label_map(rows.where("cluster_id >= 0")) if cfg.preserve_labels else rows.where("cluster_id >= 0").select("cluster_id").distinct().select(
         "cluster_id", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string")).alias("label")
     )
+    if cfg.describe:
+        described = scratch.write(descriptions(clusters.representatives(rows), describers), "described")
+        plain = plain.join(described.select("cluster_id", F.col("label").alias("_own")), "cluster_id", "left").select("cluster_id", F.coalesce("_own", "label").alias("label"))
     labels = scratch.write(plain, "labels")
     rows = scratch.write(clusters.apply_labels(rows, labels).drop("cluster_label").withColumnRenamed("new_label", "cluster_label"), "labelled")
     isolation = scratch.write(clusters.isolation(cents), "isolation")
     tree = scratch.write(gaps.parse_hierarchy(spark, cfg.expected_categories), "hierarchy")
     leaves = gaps.unique_leaves(tree).select("child")
-    vectors = scratch.write(embedding.embed_categories(leaves, provider or embedding.HashingProvider(cfg.dim)).where(F.size("v") == cfg.dim), "leaves")
+    embedded = embedding.embed_categories(leaves, provider) if categories is None and provider is not None else (categories if categories is not None else leaves.where("false").withColumn("v", F.array().cast("array<double>"))).join(leaves, "child", "left_semi")
+    vectors = scratch.write(embedded.where(F.size("v") == cfg.dim), "leaves")
     matched = scratch.write(gaps.match(vectors, cents), "matched")
     records = scratch.write(gaps.leaf_records(tree, matched, isolation, labels, cfg.gap_threshold, cfg.weights), "records")
     sparse = scratch.write(gaps.sparse_ranked(clusters.sparse(rows), isolation, labels, cfg.weights), "sparse")
@@ -108,12 +133,47 @@ def analyze(
     score = scratch.write(both.select(F.round(F.when(F.col("n_leaves") > 0, 0.5 * F.col("v") + 0.5 * F.col("category_coverage")).otherwise(F.col("v")), 4).alias("coverage_score")), "score")
     all_rows = base.drop("cluster_label").join(rows.select("sample_id", "cluster_id", "cluster_confidence", "distance", "is_outlier", "umap_x", "umap_y", "cluster_label"), "sample_id", "left")
     tagged = clusters.tag_sparse(all_rows.withColumnRenamed("distance", "centroid_distance"), sparse).drop("newly")
-    tagged = tagged.withColumn("cluster_diversity", F.lit(None).cast("string"))
+    if cfg.describe:
+        tagged = tagged.join(described.select("cluster_id", F.col("diversity").alias("cluster_diversity")), "cluster_id", "left").select(*tagged.columns, "cluster_diversity")
+    else:
+        tagged = tagged.withColumn("cluster_diversity", F.lit(None).cast("string"))
     done = scratch.write(tagged, "tagged")
     markers = gaps.marker_positions(gaps.category_gaps(records).join(matched.select("child", F.col("cluster_id").alias("closest_cluster_id")), "child"), projection.transform(model, vectors).select("child", F.col("umap_x").alias("x"), F.col("umap_y").alias("y")), clusters.centres_2d(rows))
     return Run(name, scratch, rows, done, records, sparse, score, labels, {"model": model, "cache_entries": entries, "markers": markers, "centroids": cents})
 
 
+def descriptions(representatives: DataFrame, describers: Sequence[Callable[[str], str]]) -> DataFrame:
+    """``(cluster_id, label, diversity)`` of described representatives (cluster_id, sample_id, role).
+
+    Every representative is described once, on the executors, by the first describer that answers. The label joins the
+    first two different common parts, diversity all different variations; a cluster without answers has neither.
+    """
+    order = F.when(F.col("role") == "nearest", 0).when(F.col("role") == "boundary", 1).otherwise(2)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for i in b["sample_id"]:
+                answer = None
+                for describe in describers:
+                    try:
+                        answer = describe(i)
+                    except Exception:  # the next one may know it; what none knows stays without
+                        continue
+                    if answer:
+                        break
+                found.append(text.parse_description(answer) if answer else (None, None))
+            yield pd.DataFrame({"cluster_id": b["cluster_id"], "sample_id": b["sample_id"], "o": b["o"], "common": [c for c, _ in found], "variation": [v for _, v in found]})
+
+    asked = representatives.select("cluster_id", "sample_id", order.alias("o")).repartition("cluster_id", "sample_id")
+    kind = representatives.schema["sample_id"].dataType.simpleString()
+    answers = asked.mapInPandas(ask, f"cluster_id int, sample_id {kind}, o int, common string, variation string")
+    listed = answers.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("o", "sample_id", "common", "variation"))).alias("a"))  # four at most
+    parts = {c: F.array_distinct(F.filter(F.col(f"a.{c}"), lambda x: F.coalesce(x, F.lit("")) != "")) for c in ("common", "variation")}
+    label = F.when(F.size(parts["common"]) > 0, text.combine_labels(parts["common"], F.col("cluster_id")))
+    return listed.select("cluster_id", label.alias("label"), F.nullif(F.array_join(parts["variation"], "; "), F.lit("")).alias("diversity"))
+
+
 def history_of(run: Run) -> DataFrame:
     return reports.history_entry(run.score, run.samples, run.gaps(), datetime.now(timezone.utc).isoformat(timespec="seconds"))
 

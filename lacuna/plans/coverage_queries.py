@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -358,21 +360,35 @@ def hierarchy(spark, folder):
 
 
 class Analysis:
-    """Shared inputs of the gap queries, each written once."""
+    """Shared inputs of the gap queries, each written once and only when it is asked for."""
 
     def __init__(self, spark, folder):
         self.spark, self.folder, self.scratch = spark, folder, Scratch(spark)
-        write = self.scratch.write
         self.rows = unit(spark, folder, "cluster_id", "ground_truth", "cluster_label", "umap_x", "umap_y")
         self.cents = cents(self.rows)
         self.samples = current(spark, folder, "cluster_id", "cluster_label")
         self.hierarchy = hierarchy(spark, folder)
-        leaves = gaps.unique_leaves(self.hierarchy).select("child")
-        self.leaves = write(leaf_vectors(self.rows).join(leaves, "child", "left_semi"), "leaves")
-        self.matched = write(gaps.match(self.leaves, self.cents), "matched")
-        self.labels = write(clusters.label_map(self.samples.where("cluster_id >= 0")), "labels")
-        self.isolation = write(clusters.isolation(self.cents), "isolation")
-        self.records = write(gaps.leaf_records(self.hierarchy, self.matched, self.isolation, self.labels, LEAF_THRESHOLD), "records")
+
+    @cached_property
+    def leaves(self):
+        named = gaps.unique_leaves(self.hierarchy).select("child")
+        return self.scratch.write(leaf_vectors(self.rows).join(named, "child", "left_semi"), "leaves")
+
+    @cached_property
+    def matched(self):
+        return self.scratch.write(gaps.match(self.leaves, self.cents), "matched")
+
+    @cached_property
+    def labels(self):
+        return self.scratch.write(clusters.label_map(self.samples.where("cluster_id >= 0")), "labels")
+
+    @cached_property
+    def isolation(self):
+        return self.scratch.write(clusters.isolation(self.cents), "isolation")
+
+    @cached_property
+    def records(self):
+        return self.scratch.write(gaps.leaf_records(self.hierarchy, self.matched, self.isolation, self.labels, LEAF_THRESHOLD), "records")
 
     def sparse(self):
         return gaps.sparse_ranked(clusters.sparse(self.samples), self.isolation, self.labels)

@@ -41,6 +41,10 @@ class EmbeddingCache:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        fs, target = self._target()
+        aside = target.suffix(".old")
+        if not self._exists() and fs.exists(aside):  # a swap was broken off between its two renames
+            fs.rename(aside, target)
         if not self._exists():
             spark.createDataFrame([], SCHEMA).write.parquet(path)
 
@@ -67,12 +71,18 @@ class EmbeddingCache:
         new.withColumn("embedding", F.col("embedding").cast("array<float>")).select(*names).write.mode("append").parquet(self.path)
 
     def compact(self) -> None:
-        """Rewrites the table with one entry per hash, beside the old one, then swaps the folders."""
+        """Rewrites the table with one entry per hash, beside the old one, then swaps the folders.
+
+        The old folder goes only when the new one is in place; opening the cache after a crash in between finds one of them.
+        """
         fs, target = self._target()
         fresh = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + ".new")
         compact(self.read()).write.mode("overwrite").parquet(self.path + ".new")
-        fs.delete(target, True)
+        aside = target.suffix(".old")
+        fs.delete(aside, True)
+        fs.rename(target, aside)
         fs.rename(fresh, target)
+        fs.delete(aside, True)
 
     def clear(self) -> int:
         n = compact(self.read()).count()

@@ -121,6 +121,68 @@ def test_run_guards(spark):
         api.analyze(samples(spark), config.AnalysisConfig())
 
 
+def test_category_vectors_must_be_of_the_samples_model(spark):
+    with pytest.raises(ValueError, match="own model"):
+        api.analyze(samples(spark), config.AnalysisConfig(expected_categories="a: b"))
+
+
+def test_described_run(spark):
+    """Labels and diversity come from the answers; where the first describer fails the next one is asked."""
+    tried = spark.sparkContext.accumulator(0)
+
+    def by_asset(sample_id):
+        tried.add(1)
+        raise RuntimeError("no asset")
+
+    def by_index(sample_id):
+        return "" if sample_id == "s14" else f"COMMON: people at work\nVARIATION: seen in {sample_id}"
+
+    cfg = config.AnalysisConfig(n_clusters=3, describe=True)
+    run = api.analyze(samples(spark), cfg, provider=embedding.HashingProvider(64), describers=[by_asset, by_index])
+    rows = [r for r in run.samples.collect() if r["embedding"] is not None]
+    assert tried.value > 0 and {r["cluster_label"] for r in rows} <= {"people at work", *(f"Cluster {i}" for i in range(3))}
+    assert any(r["cluster_label"] == "people at work" and "seen in s" in r["cluster_diversity"] for r in rows)
+    with pytest.raises(ValueError, match="describer"):
+        api.analyze(samples(spark), cfg, provider=embedding.HashingProvider(64))
+
+
+def test_cleared_run_and_model_used_again(spark):
+    df = samples(spark).withColumn("embedding", F.array(*[F.lit(9.0)] + [F.lit(0.0)] * 63))
+    kept = api.analyze(df, config.AnalysisConfig(n_clusters=2), provider=embedding.HashingProvider(64))
+    wiped = api.analyze(df, config.AnalysisConfig(n_clusters=2, clear_cache=True), provider=embedding.HashingProvider(64), model=kept.extra["model"], known_ids=df.select("sample_id"))
+    assert {r["embedding"][0] for r in kept.samples.collect() if r["embedding"]} == {9.0}
+    assert all(r["embedding"][0] < 9.0 for r in wiped.samples.collect() if r["embedding"]) and wiped.extra["model"] is kept.extra["model"]
+
+
+def test_kmeans_does_not_depend_on_how_rows_were_read(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "PARTITION_ROWS", 50)
+    m, _ = planted(lone=12, dim=64)
+    df = frame(spark, np.concatenate([m] * 3))
+    got = [sorted(tuple(r) for r in kmeans.kmeans(df.repartition(n), "sample_id", 6, runs=2).collect()) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_chunks_are_sent_one_after_another(spark, monkeypatch):
+    from lacuna.operators import blocks
+
+    m, _ = planted(6, 5, 10, 64)
+    df = frame(spark, m)
+    whole = sorted(tuple(r) for r in blocks.nearest(df, "sample_id", "v", df.withColumnRenamed("sample_id", "ref"), "ref", "v").collect())
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 9)
+    cut = sorted(tuple(r) for r in blocks.nearest(df, "sample_id", "v", df.withColumnRenamed("sample_id", "ref"), "ref", "v").collect())
+    assert [r[:2] for r in whole] == [r[:2] for r in cut]
+
+
+def test_first_bytes_of_files(spark, tmp_path):
+    import hashlib
+
+    from lacuna.sources import files
+
+    (tmp_path / "a b.bin").write_bytes(b"x" * 5000)
+    got = {r["filepath"].rsplit("/", 1)[1]: r["file_hash"] for r in files.hash_files(spark, str(tmp_path), first_bytes=1000).collect()}
+    assert list(got.values()) == [hashlib.sha256(b"x" * 1000).hexdigest()]
+
+
 def test_lazy_description(spark):
     run = api.analyze(samples(spark), config.AnalysisConfig(n_clusters=3), provider=embedding.HashingProvider(64))
     session, calls = {}, []
