@@ -227,11 +227,12 @@ def export_report(report: dict, path: str) -> dict:
         raise ValueError("a path is required")
     path = os.path.abspath(os.path.expanduser(path if path.lower().endswith(".html") else path + ".html"))
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    page = render.html(report.get("name", "dataset"), report, datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(page)
+    with open(path, "wb") as f:  # piece by piece: the page of a large map is never held whole
+        for piece in render.html_parts(report.get("name", "dataset"), report, datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")):
+            f.write(piece.encode("utf-8"))
+        size = f.tell()
     one = report["summary"]
-    return {"output_path": path, "size_bytes": len(page.encode("utf-8")), "n_samples": one["n_samples"], "n_clusters": one["n_clusters"], "csv_rows": len(report["clusters"])}
+    return {"output_path": path, "size_bytes": size, "n_samples": one["n_samples"], "n_clusters": one["n_clusters"], "csv_rows": len(report["clusters"])}
 
 
 def draw(run: Run, report: dict) -> dict:
@@ -239,6 +240,22 @@ def draw(run: Run, report: dict) -> dict:
     return place(report, run.rows.withColumn("file", F.col("sample_id")), run.extra["markers"])
 
 
+class Points:
+    """Placed rows in order of their ids; they come to the driver partition by partition whenever they are looked through."""
+
+    def __init__(self, placed: DataFrame):
+        self.placed = placed
+
+    def __len__(self) -> int:
+        return self.placed.count()
+
+    def __iter__(self) -> Iterator[dict]:
+        return (r.asDict() for r in self.placed.orderBy("sample_id").toLocalIterator())
+
+    def clusters(self) -> list[int]:
+        return sorted(r[0] for r in self.placed.where("cluster_id >= 0").select("cluster_id").distinct().collect())
+
+
 def place(report: dict, rows: DataFrame, markers: DataFrame) -> dict:
     """``report`` with the drawing positions of all rows that have a finite one, in order of their ids, and of the markers."""
     rows = rows.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in ("umap_x", "umap_y")))
@@ -251,7 +268,7 @@ def place(report: dict, rows: DataFrame, markers: DataFrame) -> dict:
         return size / 2 if lo is None or hi <= lo else min(1.0, max(0.0, (v - lo) / (hi - lo))) * size
 
     gaps_ = [{"name": m["name"], "sx": left + at(m["umap_x"], range_["lox"], range_["hix"], w), "sy": top + h - at(m["umap_y"], range_["loy"], range_["hiy"], h)} for m in marks.collect()]
-    return report | {"points": [r.asDict() for r in placed.orderBy("sample_id").toLocalIterator()], "markers": gaps_}
+    return report | {"points": Points(placed), "markers": gaps_}
 
 
 def panel_payload(run: Run) -> dict:

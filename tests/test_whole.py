@@ -155,3 +155,14 @@ def test_density_has_no_bound_of_rows_and_does_not_depend_on_chunks(spark, monke
     monkeypatch.setattr(density, "MAX_ROWS", 600, raising=False)
     assert [tuple(r) for r in density.hdbscan(frame(spark, x), "sample_id").orderBy("sample_id").collect()] == whole
     assert len({r[1] for r in whole}) > 5
+
+
+def test_export_holds_no_points_and_writes_the_same_page(spark, tmp_path):
+    from lacuna.plans import api, render
+
+    report = api.report_of(coverage_queries.Analysis(spark, FOLDER), "samples", coverage_queries._score)
+    assert not isinstance(report["points"], list)
+    done = api.export_report(report, str(tmp_path / "page"))
+    text = (tmp_path / "page.html").read_text(encoding="utf-8")
+    assert done["size_bytes"] == (tmp_path / "page.html").stat().st_size
+    assert render.svg(list(report["points"]), report["markers"]) in text and text.count("<circle") == len(report["points"])
