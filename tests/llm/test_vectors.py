@@ -353,3 +353,12 @@ def test_current_and_usable(spark):
     assert cur.count() == 7
     got = {r["sample_id"]: r["v"] for r in tables.usable_vectors(cur, "sample_id", "embedding").collect()}
     assert sorted(got) == ["a", "b", "g"] and np.allclose(got["g"], 0.125)
+
+
+def test_rows_to_fit_come_packed_and_in_order(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, o = rng.standard_normal((700, 8)), rng.permutation(700)
+    rows = spark.createDataFrame([(int(a), [float(c) for c in v]) for a, v in zip(o, x)], "o long, v array<double>").repartition(3)
+    monkeypatch.setattr(type(rows), "toPandas", lambda *_: pytest.fail("all vectors as objects on the driver"))
+    got = ivfpq.fitting_rows(rows, 500, 8, Scratch(spark))
+    assert got.dtype == np.float32 and np.array_equal(got, x[np.argsort(o)][:500].astype(np.float32))
