@@ -1,6 +1,7 @@
 """Operators on vectors: trees, subset, groups, neighbours, batches, top N."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,21 @@ def test_like_vectors_share_a_fingerprint():
         assert (hits["ref"] - 10_000 == hits["t_ref"]).sum() >= 1490
 
 
+def test_runs_of_a_shard_come_once_for_all_blocks_of_probes(monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_KEYS", 300)
+    m, _ = groups([3] * 40, noise=0.02)
+    layout = dedup.layout_for(len(m))
+    keys, at, covers = dedup.fingerprints(m.astype(np.float32), layout)
+    run = dedup.Run(keys, at, np.arange(len(m), dtype=np.int64), covers).by_key()
+    columns = ["shard", "keys", "at", "refs", "covers"]
+    runs, asks = pd.DataFrame(run.blocks(0, 0, 1))[columns], pd.DataFrame(run.take(np.flatnonzero(run.at >= 60)).by_key().blocks(1, 0, 2))[columns]
+    got = dedup._looker(0, 64, True)(asks, runs)
+    want = dedup.matches(dedup.Run.read(asks), dedup.Run.read(runs).by_key(), 0, 64, True)
+    assert len(runs) > 10 and len(asks) > 5 and len(want) > 30
+    assert set(zip(got["ref"], got["t_ref"])) == set(zip(want["ref"], want["t_ref"]))
+    assert not len(dedup._looker(0, 64, True)(asks, runs[:0])) and not len(dedup._looker(0, 64, True)(asks[:0], runs))
+
+
 def test_bloom_filter_never_loses_a_key():
     rng = np.random.default_rng(0)
     keys = np.sort(rng.integers(0, 1 << 31, 5000).astype(np.uint32))
