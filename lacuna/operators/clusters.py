@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lacuna import config
 from lacuna.functions import scoring
 from lacuna.functions import vectors as vec
-from lacuna.operators import blocks
+from lacuna.operators import balls, blocks
 
 IN_CLUSTER = "cluster_id >= 0"
 
@@ -236,21 +236,5 @@ def distance_summary(rows: DataFrame, id_: str, vector: str = "v") -> DataFrame:
 
 
 def core_distances(rows: DataFrame, id_: str, k: int, vector: str = "v") -> DataFrame:
-    """``(id, core_distance)``: cosine distance to the k-th nearest other row (to the farthest if there are fewer), in blocks."""
-    kind = rows.schema[id_].dataType.simpleString()
-
-    def work(m, part: pd.DataFrame, keys, refs) -> pd.DataFrame:
-        import numpy as np
-
-        sims = m @ refs.T
-        sims[blocks.same(part[id_].to_numpy(), keys)] = -np.inf
-        last = sims.shape[1]
-        s = -np.sort(-np.partition(sims, last - min(k, last), axis=1)[:, -k:], axis=1)
-        d = np.where(np.isfinite(s), np.clip(1.0 - s, 0.0, 2.0), np.inf)
-        return pd.DataFrame({id_: part[id_].to_numpy(), "near": [x[np.isfinite(x)] for x in d]})
-
-    def merge(df: DataFrame) -> DataFrame:
-        nearest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-        return df.groupBy(id_).agg(nearest.alias("near")).select(id_, F.element_at("near", -1).alias("core_distance"))
-
-    return blocks.against(rows, vector, [id_], rows, id_, vector, f"`{id_}` {kind}, near array<double>", work, merge)
+    """``(id, core_distance)``: cosine distance to the k-th nearest other row (to the farthest if there are fewer)."""
+    return balls.core_distances(rows, id_, k, vector)

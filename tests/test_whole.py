@@ -166,3 +166,39 @@ def test_export_holds_no_points_and_writes_the_same_page(spark, tmp_path):
     text = (tmp_path / "page.html").read_text(encoding="utf-8")
     assert done["size_bytes"] == (tmp_path / "page.html").stat().st_size
     assert render.svg(list(report["points"]), report["markers"]) in text and text.count("<circle") == len(report["points"])
+
+
+@pytest.mark.parametrize("n, groups", [(1500, 12), (600, 600), (3, 1), (900, 2)])
+def test_pairs_left_out_change_nothing(spark, monkeypatch, n, groups):
+    from lacuna.operators import balls
+
+    x = unit_rows(n, groups, n)
+    if n > 500:
+        x[:20], x[20] = x[100:120], 0.0  # copies, and a vector without direction
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 400)
+    monkeypatch.setattr(balls, "BLOCK", 100)
+    monkeypatch.setattr(balls, "LARGE", 10)
+    rows, s = frame(spark, x), x @ x.T
+    off = s[~np.eye(n, dtype=bool)]
+    assert np.allclose(list(clusters.pairwise_stats(rows, "sample_id").first()), [off.size, off.mean(), off.min(), off.max()], atol=1e-12)
+    core = [r[1] for r in clusters.core_distances(rows, "sample_id", 3).orderBy("sample_id").collect()]
+    np.fill_diagonal(s, -np.inf)
+    assert np.allclose(core, np.clip(1 - np.sort(s, axis=1)[:, -min(3, n - 1)], 0, 2), atol=1e-12)
+
+
+def test_most_pairs_of_groups_are_not_met(spark, monkeypatch):
+    from lacuna.operators import balls
+
+    x = unit_rows(4000, 40, 5)
+    cells, met = balls.Cells(frame(spark, x), "sample_id", "v", 3, balls.Scratch(spark)), 0
+    (pids, lo, hi), at = cells.chunks[0], cells.centres
+    for r in cells.table.collect():
+        m, bound = np.frombuffer(r["raw"]).reshape(r["n"], -1), np.frombuffer(r["bound"])
+        to = np.arccos(np.clip(m @ at.T, -1, 1))
+        met += (to <= bound[:, None]).sum()
+    assert met < 0.3 * len(x) * len(at)
+
+
+def test_pairs_of_no_rows(spark):
+    assert clusters.core_distances(frame(spark, []), "sample_id", 3).count() == 0
+    assert clusters.core_distances(frame(spark, unit_rows(1, 1, 0)), "sample_id", 3).count() == 0
