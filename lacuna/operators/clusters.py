@@ -196,23 +196,8 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pairwise_stats(rows: DataFrame, id_: str, vector: str = "v") -> DataFrame:
-    """One row ``(pairs, mean, least, most)`` of the cosines of all ordered pairs of different rows, in blocks."""
-    schema = "pairs long, total double, least double, most double"
-
-    def work(m, part: pd.DataFrame, keys, refs) -> pd.DataFrame:
-        sims = m @ refs.T
-        own = blocks.same(part[id_].to_numpy(), keys)
-        sims[own] = 0.0
-        total, pairs = sims.sum(), sims.size - len(own[0])
-        sims[own] = float("inf")
-        least = sims.min()
-        sims[own] = -float("inf")
-        return pd.DataFrame({"pairs": [pairs], "total": [total], "least": [least if pairs else None], "most": [sims.max() if pairs else None]})
-
-    def merge(df: DataFrame) -> DataFrame:
-        return df.agg(F.sum("pairs").alias("pairs"), (F.sum("total") / F.sum("pairs")).alias("mean"), F.min("least").alias("least"), F.max("most").alias("most"))
-
-    return blocks.against(rows, vector, [id_], rows, id_, vector, schema, work, merge)
+    """One row ``(pairs, mean, least, most)`` of the cosines of all ordered pairs of different rows."""
+    return balls.pairwise_stats(rows, id_, vector)
 
 
 def distance_summary(rows: DataFrame, id_: str, vector: str = "v") -> DataFrame:

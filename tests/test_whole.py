@@ -200,5 +200,6 @@ def test_most_pairs_of_groups_are_not_met(spark, monkeypatch):
 
 
 def test_pairs_of_no_rows(spark):
+    assert tuple(clusters.pairwise_stats(frame(spark, []), "sample_id").first()) == (0, None, None, None)
     assert clusters.core_distances(frame(spark, []), "sample_id", 3).count() == 0
     assert clusters.core_distances(frame(spark, unit_rows(1, 1, 0)), "sample_id", 3).count() == 0
