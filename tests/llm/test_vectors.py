@@ -312,12 +312,14 @@ def test_runs_of_a_shard_come_once_for_all_blocks_of_probes(monkeypatch):
     layout = dedup.layout_for(len(m))
     keys, at, covers = dedup.fingerprints(m.astype(np.float32), layout)
     run = dedup.Run(keys, at, np.arange(len(m), dtype=np.int64), covers).by_key()
-    columns = ["shard", "keys", "at", "refs", "covers"]
+    columns = ["shard", "block", "keys", "at", "refs", "covers"]
     runs, asks = pd.DataFrame(run.blocks(0, 0, 1))[columns], pd.DataFrame(run.take(np.flatnonzero(run.at >= 60)).by_key().blocks(1, 0, 2))[columns]
     got = dedup._looker(0, 64, True)(asks, runs)
     want = dedup.matches(dedup.Run.read(asks), dedup.Run.read(runs).by_key(), 0, 64, True)
     assert len(runs) > 10 and len(asks) > 5 and len(want) > 30
     assert set(zip(got["ref"], got["t_ref"])) == set(zip(want["ref"], want["t_ref"]))
+    again = dedup._looker(0, 64, True)(asks, runs.sample(frac=1, random_state=1))
+    assert set(zip(again["ref"], again["t_ref"])) == set(zip(got["ref"], got["t_ref"]))
     assert not len(dedup._looker(0, 64, True)(asks, runs[:0])) and not len(dedup._looker(0, 64, True)(asks[:0], runs))
 
 
