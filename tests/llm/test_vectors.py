@@ -323,6 +323,18 @@ def test_runs_of_a_shard_come_once_for_all_blocks_of_probes(monkeypatch):
     assert not len(dedup._looker(0, 64, True)(asks, runs[:0])) and not len(dedup._looker(0, 64, True)(asks[:0], runs))
 
 
+def test_packed_rows_lie_in_small_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    scratch = Scratch(spark)
+    packed = scratch.write(spark.range(0, 60, 1, 1).mapInPandas(
+        lambda batches: (pd.DataFrame({"id": b["id"], "keys": [np.random.default_rng(i).bytes(1 << 20) for i in b["id"]]}) for b in batches), "id long, keys binary"), "packed")
+    assert packed.count() == 60
+    files = [pq.ParquetFile(f) for f in (x.removeprefix("file://") for x in packed.inputFiles())]
+    sizes = [f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(sizes) > 60 << 20 and max(sizes) < 24 << 20
+
+
 def test_bloom_filter_never_loses_a_key():
     rng = np.random.default_rng(0)
     keys = np.sort(rng.integers(0, 1 << 31, 5000).astype(np.uint32))
