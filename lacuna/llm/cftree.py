@@ -6,6 +6,7 @@ partition, their leaf entries are the summary, and summaries merge by inserting
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -240,31 +241,49 @@ def cut(m: int, merges: list[tuple[int, int, float]], k: int) -> np.ndarray:
     return np.unique(roots, return_inverse=True)[1]
 
 
-def alike_groups(cents: np.ndarray, mass: np.ndarray, min_similarity: float, block: int = 512) -> np.ndarray:
-    """Group numbers of unit centroids: Ward's merges whose two sides have a similarity of at least that.
+def components(f: np.ndarray, min_similarity: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors linked by similarities of at least that: the smallest number of each row's component, and whether all rows of it are alike.
 
-    Only centroids linked by such similarities can end in one group, so the agglomeration runs inside
-    each linked component; memory is one block of similarities.
+    Memory is one block of similarities.
     """
-    m = len(cents)
-    roots = np.arange(m)
-    f = cents.astype(np.float32)
-    while True:  # the smallest number of a linked row spreads, and numbers follow their own number
-        before = roots.copy()
-        for i in range(0, m, block):
-            near = f[i : i + block] @ f.T >= min_similarity
-            near[np.arange(len(near)), np.arange(i, i + len(near))] = True
-            roots[i : i + block] = np.where(near, roots[None, :], m).min(axis=1)
+    m = len(f)
+    f = f.astype(np.float32)
+    roots, links = np.arange(m), np.ones(m, int)
+    for i in range(0, m, block):
+        near = f[i : i + block] @ f.T >= min_similarity
+        near[np.arange(len(near)), np.arange(i, i + len(near))] = True
+        roots[i : i + block] = near.argmax(axis=1)
+        links[i : i + block] = np.count_nonzero(near, axis=1)
+    some = np.flatnonzero(links > 1)  # rows without a link stay alone, so only the others are met again
+    f = f[some]
+    while len(some):  # the smallest number of a linked row spreads, and numbers follow their own number
         while (roots[roots] != roots).any():
             roots = roots[roots]
-        if (roots == before).all():
+        if (np.bincount(roots, minlength=m)[roots[some]] == links[some]).all():  # every row is linked to its whole component
             break
-    label = np.arange(m)
-    order = np.argsort(roots, kind="stable")
+        before = roots[some]
+        for i in range(0, len(some), block):
+            near = f[i : i + block] @ f.T >= min_similarity
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = True
+            roots[some[i : i + block]] = np.where(near, roots[some][None, :], m).min(axis=1)
+        if (roots[some] == before).all():
+            break
+    part = np.bincount(roots, links != np.bincount(roots, minlength=m)[roots], minlength=m)
+    return roots, part[roots] == 0
+
+
+def alike_groups(cents: np.ndarray, mass: np.ndarray, min_similarity: float, block: int = 512) -> np.ndarray:
+    """Group numbers of unit centroids: Ward's merges whose two sides have a similarity of at least that.
+
+    Only centroids linked by such similarities can end in one group, so the agglomeration runs inside
+    each linked component. Where all of a component are alike, so are the sides of every merge: it is one group.
+    """
+    roots, whole = components(cents, min_similarity, block)
+    label = roots.copy()
+    order = np.flatnonzero(~whole)
+    order = order[np.argsort(roots[order], kind="stable")]
     bounds = np.flatnonzero(np.diff(roots[order])) + 1
-    for part in np.split(order, bounds):
-        if len(part) == 1:
-            continue
+    for part in np.split(order, bounds) if len(order) else []:
         c, w = cents[part].astype(float), mass[part].astype(float)
         mine = np.arange(len(part))
         sums, total = c * w[:, None], w.copy()
@@ -282,9 +301,108 @@ def alike_groups(cents: np.ndarray, mass: np.ndarray, min_similarity: float, blo
     return label
 
 
+def like_rows(rows: np.ndarray, threshold: float, min_similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf entries (n, linear sums, square sums) of like rows: a component whose rows are all alike is one, the other rows go into a tree."""
+    roots, whole = components(rows, min_similarity)
+    tree = CFTree(rows.shape[1], threshold, 1 << 62)
+    tree.insert_rows(rows[~whole])
+    order = np.flatnonzero(whole)
+    order = order[np.argsort(roots[order], kind="stable")]
+    starts = np.flatnonzero(np.diff(roots[order], prepend=-1))
+    if not len(starts):
+        return tree.entries()
+    square = np.einsum("ij,ij->i", rows, rows)
+    own = np.diff(starts, append=len(order)).astype(float), np.add.reduceat(rows[order], starts), np.add.reduceat(square[order], starts)
+    return tuple(np.concatenate(x) for x in zip(own, tree.entries()))
+
+
+def bulk(ls: np.ndarray, n: np.ndarray, ss: np.ndarray, max_leaves: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``max_leaves`` features that hold all the given ones: leaf entries of a tree of two levels built at once.
+
+    A node's children start from features evenly spaced in the given order and move to the means of what is nearest.
+    """
+    m = len(n)
+    if m <= max_leaves:
+        return ls, n, ss
+    c = (ls / n[:, None]).astype(np.float32)
+    tops = math.isqrt(max_leaves - 1) + 1
+    top = _dealt(c, n, tops, rounds)
+    label, used = np.empty(m, int), 0
+    for i in range(tops):
+        rows = np.flatnonzero(top == i)
+        if len(rows):
+            k = (max_leaves - tops) * len(rows) // m + 1
+            label[rows] = used + _dealt(c[rows], n[rows], k, rounds)
+            used += k
+    order = np.argsort(label, kind="stable")
+    starts = np.flatnonzero(np.diff(label[order], prepend=-1))
+    return tuple(np.add.reduceat(x[order], starts) for x in (ls, n, ss))
+
+
+def _dealt(c: np.ndarray, n: np.ndarray, k: int, rounds: int, block: int = 4096) -> np.ndarray:
+    """The number (0..k-1) of the nearest of k means for each row."""
+    centres = c[np.linspace(0, len(c) - 1, min(k, len(c))).astype(int)]
+    weight = n.astype(np.float32)[:, None]
+    for left in range(rounds, -1, -1):
+        half = np.einsum("ij,ij->i", centres, centres) / 2
+        label = np.concatenate([(c[i : i + block] @ centres.T - half).argmax(axis=1) for i in range(0, len(c), block)])
+        if left:
+            order = np.argsort(label, kind="stable")
+            starts = np.flatnonzero(np.diff(label[order], prepend=-1))
+            centres = np.add.reduceat(c[order] * weight[order], starts) / np.add.reduceat(weight[order], starts)
+    return label
+
+
+def like_joined(ls: np.ndarray, n: np.ndarray, ss: np.ndarray, alike: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of features of unit vectors, those that hold like rows only join where they are alike; so a group of any size is one."""
+    tight = np.linalg.norm(ls, axis=1) >= n * np.sqrt(1 - alike**2 / 2)
+    tree = CFTree(ls.shape[1], alike, 1 << 62)
+    tree.insert_rows(ls[tight], n[tight], ss[tight])
+    joined = tree.entries()
+    return np.concatenate([ls[~tight], joined[1]]), np.concatenate([n[~tight], joined[0]]), np.concatenate([ss[~tight], joined[2]])
+
+
+def bulk_summary(vectors: DataFrame, dim: int, max_leaves: int, chunk: int = 65_536, fan_in: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``max_leaves`` entries (n, linear sums, square sums) over all rows of ``vectors`` (column v, unit vectors), by ``bulk``."""
+
+    def frame(ls: np.ndarray, n: np.ndarray, ss: np.ndarray, part: int) -> pd.DataFrame:
+        return summary_rows(n, ls, ss, 0, part)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        def held(parts: list) -> tuple:
+            return bulk(*(np.concatenate(x) for x in zip(*parts)), max_leaves)
+
+        done, rows = [], []
+        for b in batches:
+            if len(b):
+                v = np.array(b["v"].tolist(), dtype=float)
+                rows.append((v, np.ones(len(v)), np.einsum("ij,ij->i", v, v)))
+                if sum(len(r[1]) for r in rows) >= chunk:
+                    done, rows = [held([*done, held(rows)])], []
+        if done or rows:
+            yield frame(*held([*done, *([held(rows)] if rows else [])]), TaskContext.get().partitionId())
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "n", "ss"], kind="stable")
+        return frame(*bulk(np.array(pdf["ls"].tolist(), dtype=float), pdf["n"].to_numpy(), pdf["ss"].to_numpy(), max_leaves), int(pdf["part"].iloc[0]) // fan_in)
+
+    entries, parts = vectors.select("v").mapInPandas(build, SUMMARY), vectors.rdd.getNumPartitions()
+    while parts > 1:
+        entries = entries.groupBy((F.col("part") / F.lit(fan_in)).cast("int").alias("_g")).applyInPandas(merge, SUMMARY)
+        parts = -(-parts // fan_in)
+    n, ls, ss = ordered(entries.toPandas(), dim)
+    ls, n, ss = like_joined(ls, n, ss)
+    return n, ls, ss
+
+
 def rows_of(tree: CFTree, cell: int, part: int) -> pd.DataFrame:
     """The leaf entries of a tree as rows of ``SUMMARY``."""
-    n, ls, ss = tree.entries()
+    return summary_rows(*tree.entries(), cell, part)
+
+
+def summary_rows(n: np.ndarray, ls: np.ndarray, ss: np.ndarray, cell: int, part: int) -> pd.DataFrame:
     return pd.DataFrame({"cell": np.full(len(n), cell, np.int32), "part": np.full(len(n), part, np.int32), "n": n, "ls": list(ls), "ss": ss})
 
 

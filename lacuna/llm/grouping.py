@@ -1,9 +1,9 @@
 """Grouping records into similarity clusters.
 
-1. One cluster-feature tree per partition, merged to bounded leaf summaries; Ward agglomeration of the
-   leaves gives coarse cells (broadcast: cells x dim floats, bounded by ``MAX_CELLS``).
-2. Every row goes to its nearest cell; a cell is cut by salt into blocks of bounded size, a finer tree
-   per block turns its rows into leaf entries that each hold like rows only, and the blocks of a cell
+1. One cluster-feature tree of two levels per partition, built in bulk, merged to bounded leaf summaries; Ward
+   agglomeration of the leaves gives coarse cells (broadcast: cells x dim floats, bounded by ``MAX_CELLS``).
+2. Every row goes to its nearest cell; a cell is cut by salt into blocks of bounded size, whose
+   rows become leaf entries that each hold like rows only (rows all alike are one, a finer tree takes the others), and the blocks of a cell
    are merged in rounds. So a group of any size leaves few entries in a cell.
 3. Every leaf entry is compared in its few nearest cells, where Ward agglomeration merges like entries. The
    entry of most rows heads the merged ones; an entry follows its heads to the last one it is like.
@@ -36,7 +36,7 @@ MAX_ENTRIES = 16_000_000
 def coarse_cells(vectors: DataFrame, total: int, dim: int, rows_per_cell: int = ROWS_PER_CELL) -> np.ndarray:
     """Unit centres of at most ``MAX_CELLS`` cells."""
     wanted = int(min(MAX_CELLS, max(1, total // rows_per_cell)))
-    n, ls, _ = cftree.summarise(vectors, dim, min(2 * MAX_CELLS, max(1024, 4 * wanted)))
+    n, ls, _ = cftree.bulk_summary(vectors, dim, min(2 * MAX_CELLS, max(1024, 4 * wanted)))
     cents = ls / n[:, None]
     group = cftree.cut(len(cents), cftree.ward(cents, n), wanted)
     sums = np.zeros((group.max() + 1, dim))
@@ -84,9 +84,7 @@ def similarity_groups(vectors: DataFrame, key: str, scratch: Scratch, min_simila
 
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")
-        tree = cftree.CFTree(dim, radius, max_leaves=1 << 62)
-        tree.insert_rows(_matrix(pdf["v"]).astype(float))
-        return cftree.rows_of(tree, int(pdf["cell"].iloc[0]), int(pdf["salt"].iloc[0]))
+        return cftree.summary_rows(*cftree.like_rows(_matrix(pdf["v"]).astype(float), radius, min_similarity), int(pdf["cell"].iloc[0]), int(pdf["salt"].iloc[0]))
 
     blocks = rows.groupBy("cell", "salt").applyInPandas(leaves, cftree.SUMMARY)
     merged = cftree.reduced(blocks, max(salts.values()), dim, 1 << 62, radius, fan_in=16)

@@ -47,6 +47,42 @@ def test_ward_matches_brute_force():
     assert np.allclose(sorted(costs), [x[2] for x in cftree.ward(c, w)])
 
 
+def test_whole_components_need_no_agglomeration(monkeypatch):
+    m, label = groups([1] * 50 + [2] * 60 + [30], noise=0.03)
+    order = np.random.default_rng(1).permutation(len(m))
+    m, label = m[order], label[order]
+    want = [int(np.flatnonzero(label == x)[0]) for x in label]
+    chain = unit(np.array([[1, 0, 0], [0.9, 0.45, 0], [0.62, 0.8, 0], [0, 0, 1.0]]))  # neighbours are alike, the ends are not
+    assert [x.tolist() for x in cftree.components(chain, 0.8)] == [[0, 0, 0, 3], [False, False, False, True]]
+    assert len(set(cftree.alike_groups(chain, np.ones(4), 0.8))) == 3
+    n, ls, ss = cftree.like_rows(np.concatenate([chain, chain]), 0.6, 0.8)
+    assert n.sum() == 8 and np.allclose(ls.sum(axis=0), 2 * chain.sum(axis=0)) and np.isclose(ss.sum(), 8)
+
+    def refused(*_):
+        raise AssertionError("row by row")
+
+    monkeypatch.setattr(cftree, "ward", refused)
+    monkeypatch.setattr(cftree.CFTree, "insert", refused)
+    assert cftree.alike_groups(m, np.ones(len(m)), 0.8, block=16).tolist() == want
+    n, ls, _ = cftree.like_rows(m, 0.6, 0.8)
+    assert sorted(n) == [1] * 50 + [2] * 60 + [30] and np.allclose(ls.sum(axis=0), m.sum(axis=0))
+
+
+def test_trees_in_bulk_hold_all_rows_and_keep_a_hot_group_whole(spark, tmp_path, monkeypatch):
+    m, label = groups([1] * 300 + [2000], noise=0.03)
+    rows = m[np.random.default_rng(1).permutation(len(m))]
+    one = np.ones(len(rows))
+    ls, n, ss = cftree.bulk(rows, one, one, 100)
+    assert len(n) <= 100 and n.sum() == len(rows) and np.allclose(ls.sum(axis=0), rows.sum(axis=0)) and np.isclose(ss.sum(), len(rows))
+    hot = unit(m[label == 300].mean(axis=0, keepdims=True))[0]
+    ls, n, ss = cftree.like_joined(*cftree.bulk(rows, one, one, 400))
+    assert n.sum() == len(rows) and ((ls @ hot) / np.linalg.norm(ls, axis=1) > 0.9).sum() == 1
+    monkeypatch.setattr(cftree.CFTree, "_condense", lambda self: 1 / 0)
+    df = table(spark, rows[:600], tmp_path / "v")
+    n, ls, _ = cftree.bulk_summary(df, 64, 50, chunk=70, fan_in=2)
+    assert len(n) <= 50 and n.sum() == 600 and np.allclose(ls.sum(axis=0), rows[:600].sum(axis=0), atol=1e-3)
+
+
 def test_groups_equal_brute_force(spark, tmp_path):
     m, label = groups([300, 40, 7, 3, 2, 1, 1, 1])
     df = table(spark, np.concatenate([m, m[:5]]), tmp_path / "v")
