@@ -29,6 +29,8 @@ ROWS_PER_CELL = 512
 BLOCK_ROWS = 4096
 #: Cells in which a leaf entry is compared with others, and a centroid with rows.
 PROBES = 12
+#: Rows that meet all cells at once; with 4,096 cells these similarities and their order take 64 MB.
+AT_ONCE = 1024
 #: Leaf entries (about one a group) beyond which cells of one level would hold too many each to compare.
 MAX_ENTRIES = 16_000_000
 
@@ -45,9 +47,8 @@ def coarse_cells(vectors: DataFrame, total: int, dim: int, rows_per_cell: int =
 
 
 def nearest_cells(cells: np.ndarray, v: np.ndarray, probes: int) -> np.ndarray:
-    sims = v @ cells.T
-    m = min(probes, sims.shape[1])
-    return np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int32)
+    m = min(probes, len(cells))
+    return np.concatenate([np.argpartition(-(v[i : i + AT_ONCE] @ cells.T), m - 1, axis=1)[:, :m].astype(np.int32) for i in range(0, max(1, len(v)), AT_ONCE)])
 
 
 def similarity_groups(vectors: DataFrame, key: str, scratch: Scratch, min_similarity: float = 0.8) -> DataFrame:
@@ -72,7 +73,8 @@ def similarity_groups(vectors: DataFrame, key: str, scratch: Scratch, min_simila
         for b in batches:
             if len(b):
                 v = np.array(b["v"].tolist(), dtype=np.float32)
-                yield pd.DataFrame({key: b[key], "v": [x.tobytes() for x in v], "cell": (v @ sent.value.T).argmax(axis=1).astype(np.int32)})
+                cell = np.concatenate([(v[i : i + AT_ONCE] @ sent.value.T).argmax(axis=1) for i in range(0, len(v), AT_ONCE)])
+                yield pd.DataFrame({key: b[key], "v": [x.tobytes() for x in v], "cell": cell.astype(np.int32)})
 
     placed = scratch.write(vectors.select(key, "v").mapInPandas(to_cell, f"`{key}` {kind}, v binary, cell int"), "placed")
     sizes = dict(placed.groupBy("cell").count().collect())

@@ -83,6 +83,19 @@ def test_trees_in_bulk_hold_all_rows_and_keep_a_hot_group_whole(spark, tmp_path,
     assert len(n) <= 50 and n.sum() == 600 and np.allclose(ls.sum(axis=0), rows[:600].sum(axis=0), atol=1e-3)
 
 
+def test_nearest_cells_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    cells, v = (unit(rng.standard_normal((n, 64))).astype(np.float32) for n in (1000, 10_000))
+    tracemalloc.start()
+    got = grouping.nearest_cells(cells, v, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.argsort(-(v[::500] @ cells.T), axis=1)[:, :12]
+    assert (np.sort(got[::500]) == np.sort(want)).all() and got.shape == (10_000, 12) and peak < 40e6
+
+
 def test_groups_equal_brute_force(spark, tmp_path):
     m, label = groups([300, 40, 7, 3, 2, 1, 1, 1])
     df = table(spark, np.concatenate([m, m[:5]]), tmp_path / "v")
