@@ -1,5 +1,8 @@
 """Operators on vectors: trees, subset, groups, neighbours, batches, top N."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -203,6 +206,35 @@ def test_neighbours_of_copies_and_few_rows(spark, tmp_path):
     assert sorted((r["id"], r["other"]) for r in two) == [("s00000", "s00001"), ("s00001", "s00000")]
 
 
+def test_neighbours_in_slices_leave_no_vectors_behind(spark, tmp_path, monkeypatch):
+    m, _ = groups([200, 100, 50] + [6] * 60 + [1] * 90)
+    m = np.concatenate([m, np.repeat(m[:1], 7, axis=0)])  # copies too
+    ids = [f"s{i:05d}" for i in range(len(m))]
+    scratch = Scratch(spark)
+    once = lambda name: scratch.write(table(spark, m, tmp_path / name), name)
+    whole = {tuple(r) for r in ivfpq.most_similar(once("v"), "id", 3, scratch).collect()}
+    for name, n in (("SLICE_ROWS", 100), ("BLOCK_ROWS", 40), ("SHORT_ROWS", 10), ("SHARD_ROWS", 60)):
+        monkeypatch.setattr(ivfpq, name, n)
+    cut = {tuple(r) for r in ivfpq.most_similar(once("w"), "id", 3, scratch, spent="w").collect()}
+    want = exact_neighbours(m, ids, 3)
+    for got in (whole, cut):
+        assert len(got) == len(want) and len({(a, b, r) for a, b, _, r in got} & want) >= 0.97 * len(want)
+    assert len(whole & cut) >= 0.97 * len(whole)
+    left = {p.name for p in (Path(scratch.base.removeprefix("file:"))).iterdir()}
+    assert "similar5" in left and not left & {"w", "first", "routed", "lists"}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    got = Scratch(spark).write(spark.range(20_000).groupBy((F.col("id") * 7).alias("k")).count(), "counted")
+    end = time.time() + 10  # they go in the background
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left and got.count() == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_pairs_come_once(spark):
     df = spark.createDataFrame([("a", "b", 0.9, 1), ("b", "a", 0.9, 1), ("c", "a", 0.7, 1)], "id string, other string, similarity double, rank int")
     assert [tuple(r) for r in ivfpq.similar_pairs(df, "id", 0.8).collect()] == [("a", "b")]
