@@ -359,6 +359,20 @@ print("RESULT", json.dumps([out, rows.value, store.manifest.parts]))
     assert 0 < got[1] <= len(new) and len(got[2]) == 2
 
 
+def test_runs_take_less_than_they_are_long(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 1 << 32, 30_000, dtype=np.uint32))
+    run = dedup.Run(keys, rng.integers(0, 3000, len(keys)).astype(np.int32), np.arange(3000) + dedup.BEFORE_ALL, rng.integers(0, 1 << 63, (3000, 4)).astype(np.uint64))
+    row = run.row()
+    back = dedup.Run.read(pd.DataFrame([row]))
+    assert all((getattr(back, c) == getattr(run, c)).all() for c in ("keys", "at", "refs", "covers"))
+    Scratch(spark)  # the folder is set
+    path = tmp_path / "run"
+    spark.createDataFrame([tuple(bytearray(row[c]) for c in ("keys", "at", "refs", "covers"))], dedup.RUN).coalesce(1).write.options(**dedup.CODEC).parquet(str(path))
+    size = sum(p.stat().st_size for p in path.glob("*.parquet"))
+    assert size - run.covers.nbytes < 0.65 * (run.keys.nbytes + run.at.nbytes + run.refs.nbytes)
+
+
 def test_part_that_was_never_committed_is_not_read(spark):
     history, new = batches()
     folder = Scratch(spark).path("store")
